@@ -8,6 +8,7 @@ that clash with an operator's own cannot reach its plan.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +85,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     stars = links.groupBy("u").agg(F.min("v").alias("component_id"))
     roots = links.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("component_id"))
     return stars.unionByName(roots).groupBy(F.col("u").alias("id")).agg(F.min("component_id").alias("component_id"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, for results too large to keep uncompressed."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
