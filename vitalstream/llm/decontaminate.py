@@ -204,3 +204,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
     if part or found is None:
         found = search(part) if found is None else found.unionByName(search(part))
     return found
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` in which no item of ``benchmark`` is found, as leaks() finds them, in a map without shuffle."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL")
+
+    def passed(rows: DataFrame, part: list[tuple[int, bytes]]) -> DataFrame:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Search(part)
+            for batch in batches:
+                clean = [not finder.find(text) for text in batch.column("text").cast(pa.binary()).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return rows.mapInArrow(each, rows.schema)
+
+    part: list[tuple[int, bytes]] = []
+    for row in items.toLocalIterator():
+        part.append((row[0], (row[1] or "").encode()))
+        if len(part) == block:
+            docs, part = passed(docs, part), []
+    return passed(docs, part) if part else docs

@@ -47,8 +47,8 @@ def _without(words: Column, place: Column) -> Column:
     return F.concat(F.slice(words, 1, place - 1), F.slice(words, place + 1, F.size(words)))
 
 
-def deduplicate_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text without repeated lines, n_lines, n_exact and n_near, for each row of ``docs``.
+def deduplicate_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text without repeated lines, n_lines, n_exact, n_near and ``carry``, for each row of ``docs``.
 
     Lines end at a line feed. In the order of doc_id (null last), text hash and
     place, a line goes if an equal line stands earlier, or if its earliest
@@ -66,6 +66,7 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k1"),
         F.xxhash64(F.col("text").cast("string")).alias("k2"),
         F.col("text").cast("string").alias("text"),
+        F.struct("doc_id", *carry).alias("carried"),
     )
     # scanned for hashes: texts stay where they are
     said = base.select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("k1", "k2", "pos", _norm(F.col("line")).alias("norm"))
@@ -86,7 +87,7 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     maybe = keyed.join(shared, "half", "left_semi").select("h1", "h2", "first").distinct()
 
-    whole = base.select("doc_id", "k1", "k2", F.split("text", "\n").alias("lines"))
+    whole = base.select("doc_id", "k1", "k2", "carried", F.split("text", "\n").alias("lines"))
     texts = whole.select("k1", "k2", "lines")
     picked = maybe.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_set(F.struct(F.col("first.pos").alias("pos"), "h1", "h2")).alias("want"))
     near = texts.join(picked, ["k1", "k2"]).select("k1", "k2", "lines", F.explode("want").alias("x"))
@@ -120,6 +121,6 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("same").isNull(), F.concat_ws("\n", "lines")).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get(F.col("lines"), i))))
     return out.select(
         "doc_id", F.when(F.col("lines").isNotNull(), text).alias("text"), F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("same"), F.lit(0)).cast("long").alias("n_exact"), F.coalesce(F.size("like"), F.lit(0)).cast("long").alias("n_near"), "k1", "k2",
+        F.coalesce(F.size("same"), F.lit(0)).cast("long").alias("n_exact"), F.coalesce(F.size("like"), F.lit(0)).cast("long").alias("n_near"), *(F.col(f"carried.{c}").alias(c) for c in carry),
     )
 

@@ -110,8 +110,8 @@ def fit_subset(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_width: i
     return take
 
 
-def mix(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies) of every row of ``docs``.
+def mix(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies) and ``carry`` of every row of ``docs``.
 
     ``docs`` has doc_id, text and source. size is the number of words (null
     text: 0); ``copies`` whole copies are taken of a document, 0 to 3, so taken
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) ->
     source and size; which of two wholly equal rows is taken makes no
     difference. An empty table gives an empty result. Documents of no words are never taken.
 
-    Only (doc_id, source, size) is shuffled. Length counts are partial
+    Only (doc_id, source, size) and ``carry`` are shuffled. Length counts are partial
     aggregates, so a hot source sends one row for each of its lengths from each
     task. The lengths of a source, not its documents, meet in one task. Which
     documents of a length join is decided by counts over 1024 hash buckets of
@@ -131,6 +131,7 @@ def mix(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) ->
         "doc_id",
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.struct("doc_id", *carry).alias("carried"),
     ).withColumn("order", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
     sized = sized.withColumn("bucket", F.pmod("order", F.lit(BUCKETS)).cast("int"))
     # one row for each length of a source: bounded by the lengths that occur
@@ -171,5 +172,6 @@ def mix(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) ->
     cut = cut.withColumn("more", F.when(rank <= F.col("some"), 1).otherwise(0))
     copies = F.col("passes") + F.col("more")
     return whole.unionByName(cut).select(
-        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("int").alias("copies")
+        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("int").alias("copies"),
+        *(F.col(f"carried.{c}").alias(c) for c in carry),
     )

@@ -55,12 +55,12 @@ def features(counts: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the features of every row; each statistic is computed once."""
+def measured(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns and the features of every row; each statistic is computed once."""
     stats = statistics(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    counted = docs.select("doc_id", *(v.alias(f"stat_{k}") for k, v in stats.items()))
+    counted = docs.select(*carry, *(v.alias(f"stat_{k}") for k, v in stats.items()))
     made = features({k: F.col(f"stat_{k}") for k in stats})
-    return counted.select("doc_id", *(v.alias(f"feat_{k}") for k, v in made.items()))
+    return counted.select(*carry, *(v.alias(f"feat_{k}") for k, v in made.items()))
 
 
 @dataclass(frozen=True)
@@ -182,18 +182,18 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> RuleMo
     usable = usable.where("labelled IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("labelled")))
     usable = usable.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(rows)
     # at most ``rows`` pairs of two numbers
-    sample = docs.join(F.broadcast(usable), docs["doc_id"] == usable["labelled"]).select("doc_id", "text", "quality")
-    stats = statistics(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    made = features({k: F.col(f"stat_{k}") for k in stats})
-    sample = sample.select("doc_id", "quality", *(v.alias(f"stat_{k}") for k, v in stats.items()))
-    pdf = sample.select("doc_id", "quality", *(v.alias(k) for k, v in made.items())).limit(2 * rows).toPandas()
+    sample = docs.select("doc_id", "text").join(F.broadcast(usable), F.col("doc_id") == F.col("labelled"))
+    # a corpus that repeats labelled ids has more rows than labels: the bound holds for them too
+    order = F.xxhash64("doc_id"), "doc_id", "quality"
+    pdf = measured(sample, ("doc_id", "quality")).orderBy(*order).limit(rows).toPandas()
     pdf = pdf.sort_values(list(pdf.columns), kind="stable")
-    return fit_rules({k: pdf[k].to_numpy(float) for k in made}, pdf["quality"].to_numpy(float))
+    x = {k.removeprefix("feat_"): pdf[k].to_numpy(float) for k in pdf.columns if k.startswith("feat_")}
+    return fit_rules(x, pdf["quality"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """(doc_id, score) of every row: no shuffle, no Python. Empty and null texts get the score of an empty text."""
-    return measured(docs).select("doc_id", model.column().alias("score"))
+def score(docs: DataFrame, model: RuleModel, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``carry`` columns and score of every row: no shuffle, no Python. Null texts get the score of an empty text."""
+    return measured(docs, carry).select(*carry, model.column().alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

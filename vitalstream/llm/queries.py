@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, lines, mixing, pages, quality, simhash, suffixes, vectors
+from . import decontaminate, licences, lines, mixing, pages, quality, simhash, suffixes, surrogates, vectors
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,5 +52,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffixes, op2_simhash, op3_embeddings, op4_licences, op5_mixing, op6_lines, op7_pages, op9_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_simhash, op3_embeddings, op4_licences, op5_mixing, op6_lines, op7_pages, op8_surrogates, op9_decontamination, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
