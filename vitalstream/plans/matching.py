@@ -153,7 +153,7 @@ def alarm_windows(spark, sf_dir):
     hits = matching.within(on, al, 120.0).where("r_pos >= l_pos - 30")
     first = hits.groupBy("l_id").agg(F.min("r_pos").alias("first")).withColumnRenamed("l_id", "id")
     out = on.join(first, "id", "left")
-    return out.select("channel", "id", F.col("first").isNotNull().alias("found"), F.round(F.greatest(F.col("first") - F.col("pos"), F.lit(0.0)), 6).alias("delay"))
+    return out.select("channel", "id", F.col("first").isNotNull().alias("found"), F.round(F.when(F.col("first").isNotNull(), F.greatest(F.col("first") - F.col("pos"), F.lit(0.0))), 6).alias("delay"))
 
 
 ALARM_WINDOWS = f"""WITH {BEATS_SQL}, o AS (SELECT channel, event_id AS id, pos FROM beats WHERE event_type = 'signup'), a AS (SELECT channel, pos FROM beats WHERE event_type = 'error')
@@ -183,11 +183,11 @@ METADATA_JOIN = "SELECT c_custkey, c_nationkey, coalesce(orders, 0) AS orders FR
 
 def merge_redirects(spark, sf_dir):
     """Chains of merges followed to their end: a part is merged into the one of half its key while that is even."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").where("p_partkey % 2 = 0")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").where("p_partkey % 2 = 0 AND p_partkey > 0")
     return matching.redirects(p.select(F.col("p_partkey").alias("source"), F.floor(F.col("p_partkey") / 2).alias("target")))
 
 
-MERGE_REDIRECTS = """WITH RECURSIVE m AS (SELECT p_partkey AS source, p_partkey // 2 AS target FROM part WHERE p_partkey % 2 = 0
+MERGE_REDIRECTS = """WITH RECURSIVE m AS (SELECT p_partkey AS source, p_partkey // 2 AS target FROM part WHERE p_partkey % 2 = 0 AND p_partkey > 0
   UNION ALL SELECT source, target // 2 FROM m WHERE target % 2 = 0)
 SELECT source, min(target) AS target FROM m GROUP BY source"""
 

@@ -57,7 +57,7 @@ def _judged(spark, sf_dir):
     rows = _features(spark, sf_dir).withColumn("rel", F.round(rel, 6)).withColumn("k", F.round("kurt", 6))
     tests = {"saturated": F.col("range") > 480, "flat": F.col("var") < 4000, "unstable": (F.col("k") < -1.2) & (F.col("rel") < 0.97), "low": ~F.col("rel").between(0.85, 1.1), "off": F.col("rel") < 0.8}
     rows = rows.withColumn("flags", signal.flag_bits(tests))
-    score = (signal.ramp(F.col("k"), -1.8, 1.0) + signal.ramp(F.col("rel"), 0.5, 1.0)) / 2 * F.when(F.col("flags").bitwiseAND(1) != 0, 0.5).otherwise(1.0)
+    score = (signal.ramp(F.col("kurt"), -1.8, 1.0) + signal.ramp(rel, 0.5, 1.0)) / 2 * F.when(F.col("flags").bitwiseAND(1) != 0, 0.5).otherwise(1.0)
     rows = rows.withColumn("score", F.round(score, 6))
     return rows.withColumn("level", signal.quality_level(F.col("flags"), F.col("score")))
 
@@ -65,7 +65,7 @@ def _judged(spark, sf_dir):
 _JUDGED = f"""{_MOMENTS}, r AS (SELECT *, round("range" / usual, 6) AS rel, round(kurt, 6) AS k FROM features),
 f AS (SELECT *, CAST((CASE WHEN "range" > 480 THEN 1 ELSE 0 END) + (CASE WHEN var < 4000 THEN 2 ELSE 0 END) + (CASE WHEN k < -1.2 AND rel < 0.97 THEN 16 ELSE 0 END)
   + (CASE WHEN NOT (rel BETWEEN 0.85 AND 1.1) THEN 32 ELSE 0 END) + (CASE WHEN rel < 0.8 THEN 64 ELSE 0 END) AS INT) AS flags FROM r),
-s AS (SELECT *, round((least(greatest((k + 1.8) / 2.8, 0), 1) + least(greatest((rel - 0.5) / 0.5, 0), 1)) / 2 * (CASE WHEN flags & 1 != 0 THEN 0.5 ELSE 1 END), 6) AS score FROM f),
+s AS (SELECT *, round((least(greatest((kurt + 1.8) / 2.8, 0), 1) + least(greatest(("range" / usual - 0.5) / 0.5, 0), 1)) / 2 * (CASE WHEN flags & 1 != 0 THEN 0.5 ELSE 1 END), 6) AS score FROM f),
 judged AS (SELECT *, CASE WHEN flags & 3 != 0 OR score <= 0.5 THEN 2 WHEN score <= 0.75 THEN 1 ELSE 0 END AS level FROM s)"""
 
 
