@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import matching, metrics, rhythm, signal
+from . import matching, metrics, rhythm, runtime, signal
 
-_MODULES = (rhythm, signal, matching, metrics)
+_MODULES = (rhythm, signal, matching, metrics, runtime)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
