@@ -1,0 +1,61 @@
+import re
+
+from pyspark.sql import functions as F
+
+from vitalstream.llm import surrogates
+
+ROWS = [
+    (1, "mail und.34@mail7.example.com now, tel +1 (017) 555-7713. card 4111 1111 1111 1111 and 4111111111111111!"),
+    (2, 'tel +1-(017)-555-7713 ip 10.1.2.3 97.51.17.173. token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'),
+    (3, None), (4, "clean 4.0. text 12 345"), (5, ""),
+    (6, 'UND.34@MAIL7.EXAMPLE.COM Mr. Paul Smith met Frau Anna Schmidt, Госпожа Анна Иванова; "04DBEBAB91AB85687D33EEAAF9AC699E1188F962"'),
+    (6, "x 1.2.3.4"), (6, "x 1.2.3.4"), (None, "ssn 123-45-6789 DE44 5001 0517 5407 3249 31"),
+]
+
+
+def replaced(spark, rows=ROWS, key="k"):
+    docs = spark.createDataFrame([(i, t, "a", 3) for i, t in rows], "doc_id long, text string, kind string, row int")
+    return surrogates.replace_entities(docs, key).collect()
+
+
+def test_mentions_change_alike_and_keep_their_form(spark):
+    rows = replaced(spark)
+    assert sorted((r.doc_id or -1, r.n_entities) for r in rows) == [(-1, 2), (1, 4), (2, 4), (6, 1), (6, 1), (6, 5)]
+    text = {r.doc_id: r.text for r in rows if r.n_entities > 1}
+    one = re.fullmatch(r"mail ([a-z]{3}\.\d\d@[a-z]+\d\.[a-z]+\.com) now, tel \+1 \((\d{3})\) (\d{3})-(\d{4})\. card (\d{4}) (\d{4}) (\d{4}) (\d{4}) and (\d{16})!", text[1])
+    two = re.fullmatch(r'tel \+1-\((\d{3})\)-(\d{3})-(\d{4}) ip (10\.\d+\.\d+\.\d+) (\d+\.\d+\.\d+\.\d+)\. token = "([0-9a-f]{40})"', text[2])
+    six = re.fullmatch(r'([A-Z]{3}\.\d\d@[A-Z]+\d\.[A-Z]+\.COM) Mr\. (\w+) \w+ met Frau (\w+) \w+, Госпожа (\w+) (\w+ова); "([0-9A-F]{40})"', text[6])
+    assert one and two and six
+    assert "".join(one.groups()[4:8]) == one[9] and one[9] != "4" + "1" * 15 and one[9][0] == "4"
+    digits = [int(c) for c in reversed(one[9])]
+    assert sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+    assert one.groups()[1:4] == two.groups()[:3]
+    assert six[1].lower() == one[1] and six[6].lower() == two[6]
+    assert six[2].lower() in surrogates.GIVEN["m", "latin"] and six[3].lower() in surrogates.GIVEN["f", "latin"] and six[4].lower() in surrogates.GIVEN["f", "cyrillic"]
+    for _, t in ROWS:
+        for found in re.findall(surrogates.ANY.replace("\\p{L}", "a-zA-Zа-яА-Я").replace("\\p{N}", "0-9").replace("\\p{Lu}", "A-ZА-Я").replace("\\p{Ll}", "a-zа-я"), t or ""):
+            assert all(found not in r.text for r in rows)
+
+
+def test_same_key_same_text_other_key_other(spark):
+    a, b, c = (sorted((r.doc_id or -1, r.text) for r in replaced(spark, key=k)) for k in ("k", "k", "q"))
+    assert a == b and a != c
+
+
+def test_clashes_are_drawn_again(spark):
+    """All 900 first groups of a narrow kind: replacements stay distinct and foreign although most would clash."""
+    entities = spark.range(150).select(F.lit("ip").alias("kind"), F.concat(F.lit("10.1.1."), F.col("id") + 1).alias("norm"))
+    narrow = lambda kind, norm, attempt, key: F.concat(F.lit("10.1.1."), (F.pmod(F.xxhash64(F.lit(key), norm, attempt), F.lit(600)) + 1).cast("string"))
+    original, surrogates.surrogate = surrogates.surrogate, narrow
+    try:
+        made = surrogates.assign(entities, "k", rounds=60).collect()
+    finally:
+        surrogates.surrogate = original
+    assert len({r.made for r in made}) == 150 and not {r.made for r in made} & {r.norm for r in made}
+
+
+def test_empty_table_and_native_plan(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert surrogates.replace_entities(docs).count() == 0
+    plan = surrogates.replace_entities(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY, MIN_WORDS, RECALL = 0.8, 5, 0.99
-#: Sampled positions a repetition, and what share of positions is taken to agree within the budget.
-SAMPLE, AGREE = 3, 0.5
+#: Positions that a repetition samples, the share of them that agrees even at the edge of the budget, walks.
+SAMPLE, AGREE, WALKS = 1, 0.03, 40
 #: Items handed to the workers at once; a larger benchmark is searched for in blocks.
 BLOCK = 20_000
 
@@ -77,19 +77,17 @@ class Walks:
         self.repeats = repeats
         self.salts = draw.integers(1, 1 << 62, size=(1024, repeats), dtype=np.int64) | 1
 
-    def embed(self, rows: np.ndarray, steps: np.ndarray) -> np.ndarray:
-        """(windows, repeats, steps kept): what is written at the sampled ``steps`` (repeats, sample)."""
+    def embed(self, rows: np.ndarray, steps: int) -> np.ndarray:
+        """(windows, walks, steps): what each walk writes."""
         n, size = rows.shape
         padded = np.concatenate([rows, np.zeros((n, 1), np.int64)], axis=1)
         at = np.zeros((n, self.repeats), np.int64)
-        out = np.zeros((n, *steps.shape), np.int64)
+        out = np.empty((n, self.repeats, steps), np.int64)
         line = np.arange(n)[:, None]
-        for j in range(int(steps.max()) + 1):
+        for j in range(steps):
             word = padded[line, np.minimum(at, size)]
-            r, k = np.nonzero(steps == j)
-            if len(r):
-                out[:, r, k] = word[:, r]
-            mixed = word * self.salts[j % 1024]
+            out[:, :, j] = word
+            mixed = (word + 1) * self.salts[j % 1024]
             at += (mixed ^ (mixed >> 29)) >> 17 & 1
         return out
 
@@ -101,8 +99,8 @@ class Search:
         self.items = {}
         self.ids: dict[bytes, int] = {}
         self.pieces: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
-        self.repeats = repetitions()
-        self.walks = Walks(self.repeats)
+        self.walks = Walks(WALKS)
+        self.samples = math.ceil(repetitions() / WALKS)
         for key, text in items:
             words = folded(text)
             if len(words) < MIN_WORDS:
@@ -113,16 +111,25 @@ class Search:
             edges = [len(seq) * i // parts for i in range(parts + 1)]
             for a, b in zip(edges, edges[1:], strict=False):
                 self.pieces.setdefault(b - a, {}).setdefault(seq[a:b], []).append((key, a))
-        self.cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.cache: dict[int, tuple[np.ndarray, ...]] = {}
 
-    def _embedded(self, key: int) -> tuple[np.ndarray, np.ndarray]:
+    def _embedded(self, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The item's walks, and the (repetition) walk and steps that each repetition samples."""
         if key not in self.cache:
             seq = self.items[key]
             draw = random.Random(len(seq))
-            steps = np.array([sorted(draw.sample(range(2 * len(seq)), SAMPLE)) for _ in range(self.repeats)])
-            self.cache[key] = steps, self.walks.embed(np.array([seq], np.int64), steps)[0]
+            span = 2 * len(seq)
+            walk = np.repeat(np.arange(WALKS), self.samples)
+            steps = np.array([draw.sample(range(span), SAMPLE) for _ in walk])
+            self.cache[key] = walk, steps, self.walks.embed(np.array([seq], np.int64), span)[0][walk[:, None], steps]
         return self.cache[key]
 
+    def collide(self, key: int, windows: np.ndarray) -> np.ndarray:
+        """Which windows, as long as the item, agree with it on all that some repetition samples."""
+        walk, steps, own = self._embedded(key)
+        made = self.walks.embed(windows, 2 * windows.shape[1])[:, walk[:, None], steps]
+        return ((made == own) & (own > 0)).all(axis=2).any(axis=1)  # past the item's end there is nothing to agree on
+
     def find(self, text: bytes | None) -> list[tuple[int, int, int, int]]:
         """(item, first word, words, edits) of the best window of each item found in ``text``."""
         words = folded(text)
@@ -150,14 +157,12 @@ class Search:
 
     def _verify(self, key: int, seq: tuple, ids: np.ndarray, at: list[int], most: int) -> tuple[int, int, int] | None:
         """Windows at ``at`` that collide with the item, then the least edits of any of them."""
-        steps, own = self._embedded(key)
         size = len(seq)
         tail = np.concatenate([ids, np.zeros(size, np.int64)])
         best, target = None, list(seq)
         for k in range(0, len(at), 4096):
             some = np.array(at[k : k + 4096])
-            made = self.walks.embed(tail[some[:, None] + np.arange(size)], steps)
-            hit = (made == own).all(axis=2).any(axis=1)
+            hit = self.collide(key, tail[some[:, None] + np.arange(size)])
             for start in some[hit].tolist():
                 edits, n = edit_distance(target, ids[start : start + size + most].tolist(), most)
                 if edits <= most and (best is None or edits < best[2]):

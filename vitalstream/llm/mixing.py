@@ -77,7 +77,7 @@ def fit_subset(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_width: i
         while take[i] > 0 and rest + lengths[i] <= width // 2:
             take[i] -= 1
             rest += int(lengths[i])
-    limit = rest + int(lengths[lengths > 0].min(initial=1))
+    limit = 2 * rest  # past that, taking nothing more is nearer
     reach = np.zeros(limit + 1, bool)
     reach[0] = True
     steps: list[tuple[int, int, np.ndarray]] = []

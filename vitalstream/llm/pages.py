@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,12 +36,25 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _NAME = re.compile(r"[a-z]+")
 
 
+@dataclass(slots=True, eq=False)
+class Element:
+    tag: str
+    names: tuple[str, ...]
+    parent: Element | None
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    inside: Element | None
     linked: int = 0
 
+    def ancestors(self) -> Iterator[Element]:
+        at = self.inside
+        while at is not None:
+            yield at
+            at = at.parent
+
 
 def _names(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
@@ -54,7 +68,8 @@ def _names(attributes: str) -> tuple[str, ...]:
 def leaf_blocks(source: str) -> list[Block]:
     """Text blocks in page order. Broken markup is read as far as it makes sense; nothing fails."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     state = {"link": 0, "linked": 0}
 
@@ -62,7 +77,7 @@ def leaf_blocks(source: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(stack), state["linked"]))
+                out.append(Block(text, stack[-1] if stack else None, state["linked"]))
             parts.clear()
         state["linked"] = 0
 
@@ -89,9 +104,10 @@ def leaf_blocks(source: str) -> list[Block]:
                 flush()
                 if tag == "body" or tag == "html":
                     continue
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+                while open_tags[tag]:
+                    gone = stack.pop().tag
+                    open_tags[gone] -= 1
+                    if gone == tag:
                         break
                 state["link"] = 0
             continue
@@ -114,11 +130,12 @@ def leaf_blocks(source: str) -> list[Block]:
             state["link"] += 1
         elif tag in BLOCK_TAGS:
             flush()
-            while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
+            while stack and tag in CLOSED_BY.get(stack[-1].tag, ()):
+                open_tags[stack.pop().tag] -= 1
             state["link"] = 0
             if tag not in VOID_TAGS:
-                stack.append((tag, _names(m[3])))
+                stack.append(Element(tag, _names(m[3]), stack[-1] if stack else None))
+                open_tags[tag] += 1
     flush()
     return out
 
@@ -130,7 +147,7 @@ def _element(tag: str, names: tuple[str, ...]) -> list[str]:
 def _text_features(block: Block) -> list[str]:
     words = block.text.count(" ") + 1
     share = min(4, int(4 * block.linked / max(1, len(block.text))))
-    leaf = block.path[-1][0] if block.path else "none"
+    leaf = block.inside.tag if block.inside else "none"
     out = [f"leaf={leaf}", f"words={min(7, words.bit_length())}", f"links={share}", "stop" if block.text[-1] in ".!?:;\"'”»)" else "open", "bias"]
     if block.text[0] in "©®" or "©" in block.text or "copyright" in block.text.lower():
         out.append("rights")
@@ -145,15 +162,16 @@ class ChainField:
     pairs: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
 
     def emissions(self, blocks: list[Block]) -> list[float]:
-        known, cached, out = self.weights.get, {(): 0.0}, []
-
-        def of(path: tuple) -> float:
-            if path not in cached:
-                cached[path] = of(path[:-1]) + sum(known(f, 0.0) for f in _element(*path[-1]))
-            return cached[path]
-
+        known, sums, out = self.weights.get, {None: 0.0}, []
         for b in blocks:
-            out.append(of(b.path) + sum(known(f, 0.0) for f in _text_features(b)))
+            new = []
+            for at in b.ancestors():
+                if at in sums:
+                    break
+                new.append(at)
+            for at in reversed(new):
+                sums[at] = sums[at.parent] + sum(known(f, 0.0) for f in _element(at.tag, at.names))
+            out.append(sums[b.inside] + sum(known(f, 0.0) for f in _text_features(b)))
         return out
 
     def decode(self, blocks: list[Block]) -> list[bool]:
@@ -180,7 +198,7 @@ class ChainField:
 
 def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> ChainField:
     """Maximum likelihood by Adam, with forward-backward over all pages side by side."""
-    rows = [[*(f for tag, names in b.path for f in _element(tag, names)), *_text_features(b)] for blocks, _ in pages for b in blocks]
+    rows = [[*(f for at in b.ancestors() for f in _element(at.tag, at.names)), *_text_features(b)] for blocks, _ in pages for b in blocks]
     index = {f: i for i, f in enumerate(sorted({f for r in rows for f in r}))}
     x = np.zeros((len(rows), len(index)), np.float32)
     for i, r in enumerate(rows):
@@ -272,7 +290,7 @@ class PageWriter:
             elif kind == "comments":
                 items.append(f'<div class="{r.choice(["comment", "reply", "item", "body"])}">{self.block("p", self.words(3, 50), False)}</div>')
             else:
-                items.append(self.block(r.choice(["p", "p", "div", "span" if len(items) == 0 and False else "p", "h3"]), r.choice(["© ", "", ""]) * (kind == "footer") + self.words(2, 35, r.random() < 0.8), False))
+                items.append(self.block(r.choice(["p", "p", "div", "p", "h3"]), r.choice(["© ", "", ""]) * (kind == "footer") + self.words(2, 35, r.random() < 0.8), False))
         body = "".join(items)
         if tag != "ul" and "<li>" in body:
             body = body.replace("<li>", "<ul><li>", 1)[::-1].replace("</li>"[::-1], "</li></ul>"[::-1], 1)[::-1]
