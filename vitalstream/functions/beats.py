@@ -1,0 +1,213 @@
+"""Beat detection and shapes of one channel, sample blocks in and beats out."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import numpy as np
+
+from .dsp import FilterBank, mains_frequency
+
+
+def median_nearest(values: list[float], q: float = 0.5) -> float:
+    ordered = sorted(values)
+    return ordered[round(q * (len(ordered) - 1))]
+
+
+@dataclass
+class Detector:
+    """Adaptive threshold on the energy of the slope, with refractory time and a search back for missed beats.
+
+    Decisions hang on candidates, stretches over the threshold, so the per-sample
+    work is vectorised and only candidates are looked at one by one.
+    """
+
+    fs: float
+    energies: list[float] = field(default_factory=list)
+    rr: list[float] = field(default_factory=list)
+    noise: float = 0.0
+    last: int | None = None
+    energy: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    clean: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    start: int = 0
+    tail: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    seen: int = 0
+
+    def __post_init__(self) -> None:
+        self.width = max(1, round(0.12 * self.fs))
+        self.refractory = round(0.2 * self.fs)
+        self.keep = round(4 * self.fs)
+
+    def threshold(self) -> float:
+        peak = 0.5 * max(1e-12, median_nearest(self.energies[-8:])) if self.energies else np.inf
+        floor = min(self.noise, 0.5 * peak)
+        return floor + 0.3 * (peak - floor)
+
+    def on_gap(self, samples: int) -> None:
+        """Windows start anew, the clock moves on, what was learnt stays."""
+        self.start = self.seen = self.seen + samples
+        self.energy, self.clean, self.tail = np.zeros(0), np.zeros(0), np.zeros(0)
+        self.last = None
+
+    def push(self, qrs: np.ndarray, clean: np.ndarray, final: bool = False) -> list[tuple[int, float, float, bool]]:
+        """(sample, amplitude, energy, recovered) of beats that are now certain."""
+        x = np.r_[self.tail, qrs]
+        pad = np.r_[np.zeros(max(0, self.width + 4 - len(self.tail))), x]
+        slope = np.zeros(len(pad))
+        slope[4:] = (2 * pad[4:] + pad[3:-1] - pad[1:-3] - 2 * pad[:-4]) * self.fs / 8
+        square = np.r_[0.0, np.cumsum(slope * slope)]
+        mean = (square[self.width :] - square[: -self.width]) / self.width
+        self.energy = np.r_[self.energy, mean[len(mean) - len(qrs) :] if len(qrs) else np.zeros(0)]
+        self.clean = np.r_[self.clean, clean]
+        self.tail = x[-(self.width + 4) :]
+        self.seen += len(qrs)
+        out = self._decide(final)
+        drop = max(0, len(self.energy) - self.keep)
+        self.energy, self.clean, self.start = self.energy[drop:], self.clean[drop:], self.start + drop
+        return out
+
+    def _decide(self, final: bool) -> list[tuple[int, float, float, bool]]:
+        out = []
+        if not self.energies:
+            if len(self.energy) < 2 * self.fs and not final:
+                return out
+            if not len(self.energy):
+                return out
+            self.energies.append(float(self.energy.max()) * 0.5)
+            self.noise = float(self.energy.mean()) * 0.25
+        while True:
+            begin = 0 if self.last is None else max(0, self.last + self.refractory - self.start)
+            over = np.flatnonzero(self.energy[begin:] > self.threshold())
+            end = self.seen - self.start
+            if self.rr and self.last is not None:
+                due = int(self.last + 1.66 * np.mean(self.rr[-8:]) - self.start)
+                first = begin + over[0] if len(over) else end
+                if due < min(first, end - self.width) and begin < due:
+                    at = begin + int(np.argmax(self.energy[begin:due]))
+                    if self.energy[at] > 0.5 * self.threshold():
+                        out.append(self._accept(at, True))
+                        continue
+                    self.rr = self.rr[-4:-1] or []
+            if not len(over):
+                break
+            first = begin + int(over[0])
+            stop = min(first + self.width + self.refractory, end)
+            if stop - first < self.width + self.refractory and not final:
+                break
+            out.append(self._accept(first + int(np.argmax(self.energy[first:stop])), False))
+        return out
+
+    def _accept(self, at: int, recovered: bool) -> tuple[int, float, float, bool]:
+        lo, hi = max(0, at - self.width - self.width // 3), min(len(self.clean), at + self.width // 3 + 1)
+        spot = lo + int(np.argmax(np.abs(self.clean[lo:hi])))
+        energy, where = float(self.energy[at]), self.start + at
+        if self.last is not None:
+            gap = where - self.last
+            if 0.2 * self.fs <= gap <= 3 * self.fs:
+                self.rr.append(gap)
+        self.energies = [*self.energies[-7:], energy]
+        self.noise = 0.875 * self.noise + 0.125 * float(np.median(self.energy[max(0, at - 2 * self.width) : at + 1]))
+        self.rr, self.last = self.rr[-8:], where
+        return self.start + spot, float(self.clean[spot]), energy, recovered
+
+
+@dataclass
+class Leader:
+    """Online groups of unit vectors: the best centre over ``join`` takes one in, else it leads a new group."""
+
+    join: float = 0.90
+    rate: float = 0.02
+    most: int = 64
+    merge: float = 0.95
+    centres: list[np.ndarray] = field(default_factory=list)
+    counts: list[int] = field(default_factory=list)
+    ids: list[int] = field(default_factory=list)
+    events: list[tuple[str, int, int]] = field(default_factory=list)
+    made: int = 0
+
+    def add(self, v: np.ndarray) -> int:
+        if self.centres:
+            scores = np.array(self.centres) @ v
+            k = int(np.argmax(scores))
+            if scores[k] >= self.join:
+                c = self.centres[k] + self.rate * (v - self.centres[k])
+                self.centres[k] = c / max(np.linalg.norm(c), 1e-12)
+                self.counts[k] += 1
+                return self.ids[k]
+        if len(self.centres) >= self.most:
+            self._make_room()
+        self.centres.append(v)
+        self.counts.append(1)
+        self.ids.append(self.made)
+        self.made += 1
+        return self.ids[-1]
+
+    def _make_room(self) -> None:
+        """The closest pair becomes one if close enough; else the smallest group is let go."""
+        c = np.array(self.centres)
+        scores = np.triu(c @ c.T, 1)
+        i, j = np.unravel_index(int(np.argmax(scores)), scores.shape)
+        if scores[i, j] >= self.merge:
+            if self.counts[j] > self.counts[i]:
+                i, j = j, i
+            self.counts[i] += self.counts[j]
+            self.events.append(("merged", self.ids[j], self.ids[i]))
+        else:
+            j = int(np.argmin(self.counts))
+            self.events.append(("dropped", self.ids[j], -1))
+        for x in (self.centres, self.counts, self.ids):
+            del x[j]
+
+
+def beat_vector(clean: np.ndarray, at: int, fs: float, points: int = 48) -> np.ndarray | None:
+    """The wave from 120 ms before to 200 ms after, at ``points`` points, zero mean and unit norm."""
+    lo, hi = at - 0.12 * fs, at + 0.2 * fs
+    if lo < 0 or hi > len(clean) - 1:
+        return None
+    v = np.interp(np.linspace(lo, hi, points), np.arange(len(clean)), clean)
+    v = v - v.mean()
+    n = np.linalg.norm(v)
+    return v / n if n > 0 else None
+
+
+class ChannelKernel:
+    """All of a channel: filter bank, detection and groups, fed packet by packet."""
+
+    def __init__(self, fs: float) -> None:
+        self.fs, self.bank, self.detector, self.leader = fs, None, Detector(fs), Leader()
+        self.first: list[np.ndarray] = []
+        self.clean, self.base = np.zeros(0), 0
+
+    def _filtered(self, x: np.ndarray, final: bool) -> np.ndarray | None:
+        """Until two seconds have come the mains frequency is not known, and samples wait."""
+        if self.bank is None:
+            self.first.append(x)
+            held = np.concatenate(self.first)
+            if len(held) < 2 * self.fs and not final:
+                return None
+            self.bank, self.first = FilterBank(self.fs, mains_frequency(held[: int(2 * self.fs)] - held[: int(2 * self.fs)].mean(), self.fs) if len(held) else None), []
+            return held
+        return x
+
+    def push(self, x: np.ndarray, final: bool = False) -> list[dict]:
+        x = self._filtered(np.asarray(x, float), final)
+        if x is None:
+            return []
+        bands = self.bank.process(x)
+        self.clean = np.r_[self.clean, bands["clean"]]
+        beats = []
+        for sample, amplitude, energy, recovered in self.detector.push(bands["qrs"], bands["clean"], final):
+            v = beat_vector(self.clean, sample - self.base, self.fs)
+            beats.append({"sample": sample, "amplitude": amplitude, "energy": energy, "recovered": recovered, "shape": -1 if v is None else self.leader.add(v)})
+        drop = max(0, len(self.clean) - int(6 * self.fs))
+        self.clean, self.base = self.clean[drop:], self.base + drop
+        return beats
+
+    def gap(self, samples: int) -> None:
+        if self.bank is not None:
+            self.bank.reset()
+        held = sum(map(len, self.first))
+        self.first = []
+        self.base += len(self.clean) + samples + held
+        self.clean = np.zeros(0)
+        self.detector.on_gap(samples + held)
