@@ -148,7 +148,9 @@ def _text_features(block: Block) -> list[str]:
     words = block.text.count(" ") + 1
     share = min(4, int(4 * block.linked / max(1, len(block.text))))
     leaf = block.inside.tag if block.inside else "none"
-    out = [f"leaf={leaf}", f"words={min(7, words.bit_length())}", f"links={share}", "stop" if block.text[-1] in ".!?:;\"'”»)" else "open", "bias"]
+    above = block.inside.parent if block.inside else None
+    core = any(e.tag in ("article", "main") for e in block.ancestors())
+    out = [f"leaf={leaf}", f"up={above.tag if above else 'none'}", f"up={above.tag if above else 'none'}>{leaf}", f"{'core' if core else 'outer'}:{above.tag if above else 'none'}", "named" if any(x.names for x in (block.inside, above) if x) else "unnamed", f"words={min(7, words.bit_length())}", f"links={share}", "stop" if block.text[-1] in ".!?:;\"'”»)" else "open", "bias"]
     if block.text[0] in "©®" or "©" in block.text or "copyright" in block.text.lower():
         out.append("rights")
     return out
@@ -196,7 +198,7 @@ class ChainField:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> ChainField:
+def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 250, rate: float = 0.3, ridge: float = 5e-5) -> ChainField:
     """Maximum likelihood by Adam, with forward-backward over all pages side by side."""
     rows = [[*(f for at in b.ancestors() for f in _element(at.tag, at.names)), *_text_features(b)] for blocks, _ in pages for b in blocks]
     index = {f: i for i, f in enumerate(sorted({f for r in rows for f in r}))}
@@ -236,7 +238,7 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 120, rate:
         expected = (both * real[:, 1:, None, None]).sum((0, 1))
         g = np.concatenate([x.T @ (p1 - y)[np.argsort(place[real])].astype(np.float32), (expected - seen).ravel()]) / len(rows) + ridge * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        theta -= rate / (1 + t / 60) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return ChainField({f: float(theta[i]) for f, i in index.items() if abs(theta[i]) > 1e-4}, theta[-4:].reshape(2, 2).copy())
 
 
@@ -281,16 +283,21 @@ class PageWriter:
         if tag == "header" and inside:
             tag = "div"
         attribute = "" if tag not in ("div", "section", "ul") and r.random() < 0.5 else f' {r.choice(["class", "class", "id"])}="{name}"'
+        if tag != "ul" and r.random() < 0.3:  # text straight inside
+            mark = "\x02" + r.choice(["© ", "", ""]) * (kind == "footer")
+            links = r.random() < 0.3 and kind in ("nav", "share", "footer", "header")
+            text = " ".join(f'<a href="/{k}">{self.words(1, 2, False)}</a>' for k in range(r.randint(1, 4))) if links else self.words(1, 25, r.random() < 0.7)
+            return f"<{tag}{attribute}>{mark}{text}</{tag}>"
         items = []
         for _ in range(r.randint(1, 6 if kind in ("nav", "aside", "comments") else 3)):
             if tag == "ul" or kind in ("nav", "share", "aside") and r.random() < 0.7:
                 items.append(self.block("li", f'<a href="/{r.randint(1, 99)}">{self.words(1, 4, False)}</a>', False))
             elif kind == "form":
-                items.append(r.choice([self.block("label", self.words(1, 3, False), False).replace("label", "p"), self.block("button", self.words(1, 2, False), False), self.block("p", self.words(4, 20), False)]))
+                items.append(r.choice([f"<label>\x02{self.words(1, 3, False)}</label><input>", self.block("button", self.words(1, 2, False), False), self.block("p", self.words(4, 20), False)]))
             elif kind == "comments":
                 items.append(f'<div class="{r.choice(["comment", "reply", "item", "body"])}">{self.block("p", self.words(3, 50), False)}</div>')
             else:
-                items.append(self.block(r.choice(["p", "p", "div", "p", "h3"]), r.choice(["© ", "", ""]) * (kind == "footer") + self.words(2, 35, r.random() < 0.8), False))
+                items.append(self.block(r.choice(["h1", "h2", "p"] if kind == "header" else ["p", "p", "div", "p", "h3"]), r.choice(["© ", "", ""]) * (kind == "footer") + self.words(2, 35, r.random() < 0.8), False))
         body = "".join(items)
         if tag != "ul" and "<li>" in body:
             body = body.replace("<li>", "<ul><li>", 1)[::-1].replace("</li>"[::-1], "</li></ul>"[::-1], 1)[::-1]
@@ -309,6 +316,8 @@ class PageWriter:
             return f"<blockquote>{self.block('p', self.words(5, 40), True)}</blockquote>"
         if k < 0.94:
             return "<table><tr>" + "".join(self.block("td", self.words(1, 4, False), True) for _ in range(r.randint(2, 4))) + "</tr></table>"
+        if k < 0.955:
+            return f"<figure>{self.block('figcaption', self.words(3, 15), True)}</figure>"
         if k < 0.97:
             return self.block("pre", self.words(3, 20, False), True)
         return self.block("p", f'{self.words(3, 20)} <a href="#">{self.words(1, 5, False)}</a> {self.words(1, 20)}', True)
@@ -316,7 +325,7 @@ class PageWriter:
     def page(self) -> str:
         r = self.r
         inner = [self.block("h1", self.words(2, 9, r.random() < 0.3), True)] if r.random() < 0.85 else []
-        if inner and r.random() < 0.15:
+        if inner and r.random() < 0.25:
             inner = [f"<header>{inner[0]}</header>"]
         for _ in range(r.randint(1, 12)):
             inner.append(self.paragraph())
@@ -334,22 +343,25 @@ class PageWriter:
         elif k < 0.6:
             body = f"<main>{body}</main>"
         elif k < 0.9:
-            body = f'<div {r.choice(["class", "id"])}="{r.choice(MAIN_NAMES)}{r.choice(["", " ", "-"])}{r.choice(["", *PLAIN_NAMES, *MAIN_NAMES])}">{body}</div>'
+            tag = r.choice(["div", "div", "section"])
+            body = f'<{tag} {r.choice(["class", "id"])}="{r.choice(MAIN_NAMES)}{r.choice([" ", "-"])}{r.choice(["", *PLAIN_NAMES, *MAIN_NAMES])}">{body}</{tag}>'
         if r.random() < 0.25:
             body = f"<main>{body}</main>"
+        elif r.random() < 0.1:
+            body = f"<section>{body}</section>"
         before = "".join(self.other(False) for _ in range(r.randint(0, 4)))
         after = "".join(self.other(False) for _ in range(r.randint(0, 4)))
         return f"<!DOCTYPE html><html><head><title>x</title></head><body>{before}{body}{after}</body></html>"
 
     def labelled(self) -> tuple[list[Block], list[bool]]:
         blocks = leaf_blocks(self.page())
-        labels = ["\x01" in b.text for b in blocks]
+        labels = ["\x01" in b.text for b in blocks]  # a mark rides in each block's text
         for b in blocks:
             b.text = b.text.replace("\x01", "").replace("\x02", "").strip() or "x"
         return blocks, labels
 
 
-def default_field(pages: int = 600, seed: int = 3) -> ChainField:
+def default_field(pages: int = 500, seed: int = 3) -> ChainField:
     writer = PageWriter(seed)
     return train([p for p in (writer.labelled() for _ in range(pages)) if p[0]])
 
