@@ -22,18 +22,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import stored
 
 MIN_WORDS, NEAR_WORDS = 4, 8
+#: Hash slots of documents: a filter of at most so many numbers is broadcast.
+SLOTS = 1 << 20
 _LAST = (1 << 63) - 1
 
 
 def _norm(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
+    """Lower case, single spaces. Few lines need the pattern, and bytes show which."""
+    odd = line.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
 
 
 def _count(norm: Column) -> Column:
-    return F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
 
 
 def _half(less: int) -> str:
@@ -72,46 +78,55 @@ def deduplicate_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
     said = base.select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("k1", "k2", "pos", _norm(F.col("line")).alias("norm"))
     said = said.withColumn("w", _count(F.col("norm"))).where(F.col("w") >= MIN_WORDS)
     at = F.struct("k1", "k2", "pos")
-    seen = said.select(
-        at.alias("at"), "w", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.col("norm")).alias("h2"),
-        *(
-            F.expr(f"if(w >= {NEAR_WORDS}, xxhash64({_half(less)}, {sign}, substring_index(norm, ' ', {sign} * {_half(less)})), null)").alias(f"half{less}{side}")
-            for less in (0, 1) for side, sign in (("a", 1), ("b", -1))
-        ),
-    )
-    halves = ["half0a", "half0b", "half1a", "half1b"]
-    classes = seen.groupBy("h1", "h2", "w").agg(F.min("at").alias("first"), F.count("*").alias("n"), *(F.min(h).alias(h) for h in halves))
+    cut = said.withColumn("c0", F.expr(f"if(w >= {NEAR_WORDS}, {_half(0)}, null)")).withColumn("c1", F.expr(f"if(w >= {NEAR_WORDS} and {_half(1)} <> {_half(0)}, {_half(1)}, null)"))
+    halves = [F.expr(f"if(c{k} is null, null, xxhash64(c{k}, {sign}, substring_index(norm, ' ', {sign} * c{k})))").alias(f"half{k}{side}") for k in (0, 1) for side, sign in (("a", 1), ("b", -1))]
+    names = ["half0a", "half0b", "half1a", "half1b"]
+    seen = cut.select(at.alias("at"), "w", "c0", "c1", F.xxhash64("norm").alias("h"), *halves)
+    classes = stored(seen.groupBy("h", "w").agg(F.min("at").alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("c0", "c1", *names))))
 
     # lines that could have a near line: one of their halves occurs in another distinct line
-    keyed = classes.where(F.col("w") >= NEAR_WORDS).select("h1", "h2", "first", F.explode(F.array_distinct(F.array(*halves))).alias("half"))
+    sides = F.array(*(F.struct(F.col(f"half{k}{s}").alias("half"), F.lit(s).alias("side"), F.col(f"c{k}").alias("c")) for k in (0, 1) for s in "ab"))
+    keyed = classes.where("c0 IS NOT NULL").select("h", "w", F.explode(sides).alias("x")).where("x.half IS NOT NULL").select("h", "w", "x.half", "x.side", "x.c")
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    maybe = keyed.join(shared, "half", "left_semi").select("h1", "h2", "first").distinct()
-
-    whole = base.select("doc_id", "k1", "k2", "carried", F.split("text", "\n").alias("lines"))
-    texts = whole.select("k1", "k2", "lines")
-    picked = maybe.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_set(F.struct(F.col("first.pos").alias("pos"), "h1", "h2")).alias("want"))
-    near = texts.join(picked, ["k1", "k2"]).select("k1", "k2", "lines", F.explode("want").alias("x"))
-    near = near.select(F.struct("k1", "k2", F.col("x.pos").alias("pos")).alias("first"), F.split(_norm(F.get(F.col("lines"), F.col("x.pos"))), " ").alias("words"))
-    near = checkpointed(near.dropDuplicates(["first"]))
+    # the other half of such a line is where its one edit can be
+    maybe = keyed.join(shared, "half", "left_semi").groupBy("h", "w").agg(F.min(F.when(F.col("side") == "a", F.col("c"))).alias("head"), F.min(F.when(F.col("side") == "b", F.col("c"))).alias("tail"))
+    maybe = maybe.join(classes.select("h", "w", "first"), ["h", "w"])
+    picked = stored(maybe.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "head", "tail")).alias("want")))
+    # of the documents, only those in a slot of one with such a line are shuffled: SLOTS numbers at most
+    slot = lambda: F.pmod(F.xxhash64("k1", "k2"), F.lit(SLOTS)).alias("slot")
+    some = base.select("k1", "k2", "text", slot()).join(F.broadcast(picked.select(slot()).distinct()), "slot", "left_semi").select("k1", "k2", F.split("text", "\n").alias("lines"))
+    near = some.join(picked, ["k1", "k2"]).select("k1", "k2", "lines", F.explode("want").alias("x"))
+    near = near.select(
+        F.xxhash64("k1", "k2", "x.pos").alias("id"), F.struct("k1", "k2", F.col("x.pos").alias("pos")).alias("first"), "x.head", "x.tail",
+        F.split(_norm(F.get(F.col("lines"), F.col("x.pos"))), " ").alias("words"),
+    )
+    near = stored(near.dropDuplicates(["id"]))
 
     size = F.size("words")
-    variants = F.transform(F.sequence(F.lit(1), size), lambda j: F.struct(F.xxhash64(F.concat_ws(" ", F.slice("words", 1, j - 1)), F.concat_ws(" ", F.slice("words", j + 1, F.size("words")))).alias("key"), j.alias("place")))
-    # a variant is hashed in two parts, so a whole line offers itself cut at each place
-    parted = F.transform(F.sequence(F.lit(1), size + 1), lambda j: F.struct(F.xxhash64(F.concat_ws(" ", F.slice("words", 1, j - 1)), F.concat_ws(" ", F.slice("words", j, F.size("words")))).alias("key"), j.alias("place")))
-    lacking = near.select("first", size.alias("w"), F.explode(variants).alias("v")).select("first", F.col("v.key").alias("key"), F.col("v.place").alias("place"), F.col("w").alias("of"), F.lit(False).alias("own"))
-    itself = near.select("first", size.alias("w"), F.explode(parted).alias("v")).select("first", F.col("v.key").alias("key"), F.col("v.place").alias("place"), (F.col("w") + 1).alias("of"), F.lit(True).alias("own"))
-    offered = lacking.unionByName(itself)
-    met = offered.groupBy("key", "place", "of").agg(F.min(F.when(~F.col("own"), F.col("first"))).alias("lack"), F.min(F.when(F.col("own"), F.col("first"))).alias("self"), F.count("*").alias("n")).where("n > 1")
-    pairs = offered.join(met, ["key", "place", "of"]).select("first", "place", "own", F.explode(F.array(F.struct("lack", F.lit(False).alias("other_own")), F.struct(F.col("self").alias("lack"), F.lit(True).alias("other_own")))).alias("o"))
-    pairs = pairs.select("first", "place", "own", F.col("o.lack").alias("earlier"), F.col("o.other_own").alias("other_own"))
-    # two whole lines that meet are equal and of one class; all else is one edit apart
-    pairs = pairs.where("earlier IS NOT NULL AND earlier < first AND NOT (own AND other_own)").dropDuplicates(["first", "earlier"])
-    checked = pairs.join(near, "first").join(near.select(F.col("first").alias("earlier"), F.col("words").alias("others")), "earlier")
-    cut = lambda own, words: F.when(F.col(own), F.col(words)).otherwise(_without(F.col(words), F.col("place")))
-    close = checked.where(cut("own", "words") == cut("other_own", "others")).select("first").distinct()
-
-    repeated = classes.where("n > 1").select("h1", "h2", "w", "first")
-    exact = seen.select("at", "h1", "h2", "w").join(repeated, ["h1", "h2", "w"]).where("at > first").select("at", F.lit(False).alias("near"))
+    places = F.filter(F.sequence(F.lit(1), size), lambda j: F.coalesce(j > F.col("head"), F.lit(False)) | F.coalesce(j <= size - F.col("tail"), F.lit(False)))
+    key = lambda left, right: F.xxhash64(F.concat_ws(" ", left, right))
+    lacking = near.select("id", "words", F.explode(places).alias("place"))
+    lacking = lacking.select(key(F.slice("words", F.lit(1), F.col("place") - 1), F.slice("words", F.col("place") + 1, F.size("words"))).alias("key"), "id", "place")
+    own = near.select(key(F.col("words"), F.array().cast("array<string>")).alias("key"), "id", F.lit(0).alias("place"))
+    offered = lacking.unionByName(own)
+    met = offered.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    meeting = stored(offered.join(met, "key").join(near.select("id", "first"), "id").select("key", "place", F.struct("first", "id").alias("who")))
+
+    # same place: one replacement apart; a whole line and a variant: one insertion apart
+    replaced = meeting.where("place > 0").groupBy("key", "place").agg(F.min("who").alias("other"))
+    replaced = meeting.join(replaced, ["key", "place"]).where("other < who").select("who", "other", "place", F.col("place").alias("other_place"))
+    whole_line = meeting.where("place = 0").groupBy("key").agg(F.min("who").alias("other"))
+    longer = meeting.where("place > 0").join(whole_line, "key").where("other < who").select("who", "other", "place", F.lit(0).alias("other_place"))
+    variant = meeting.where("place > 0").groupBy("key").agg(F.min(F.struct("who", "place")).alias("o"))
+    shorter = meeting.where("place = 0").join(variant, "key").select("who", F.col("o.who").alias("other"), "place", F.col("o.place").alias("other_place")).where("other < who")
+    pairs = replaced.unionByName(longer).unionByName(shorter).select(F.col("who.id").alias("id"), F.col("who.first").alias("first"), F.col("other.id").alias("other"), "place", "other_place").distinct()
+    checked = pairs.join(near.select("id", "words"), "id").join(near.select(F.col("id").alias("other"), F.col("words").alias("others")), "other")
+    left = lambda words, place: F.when(F.col(place) == 0, F.col(words)).otherwise(_without(F.col(words), F.col(place)))
+    close = checked.where(left("words", "place") == left("others", "other_place")).select("first").distinct()
+
+    whole = base.select("doc_id", "k1", "k2", "carried", F.split("text", "\n").alias("lines"))
+    repeated = classes.where("n > 1").select("h", "w", "first")
+    exact = seen.select("at", "h", "w").join(repeated, ["h", "w"]).where("at > first").select("at", F.lit(False).alias("near"))
     gone = exact.unionByName(close.select(F.col("first").alias("at"), F.lit(True).alias("near")))
     gone = gone.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(
         F.array_distinct(F.collect_list(F.when(~F.col("near"), F.col("at.pos")))).alias("same"), F.collect_set(F.when(F.col("near"), F.col("at.pos"))).alias("like")
