@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, partitions
+from .common import components, partitions, stored
 
 RADIUS = 2
 #: (shift, bits) of the blocks of a fingerprint, and of the finer ones of hot shards.
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     empty result. Copies collapse to one row for each fingerprint before any
     join, by partial aggregation; the join back is one that AQE may split.
     """
-    fps = fingerprints(docs, words)
+    fps = stored(fingerprints(docs, words))  # two numbers a row, read three times
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     joined = components(links(classes.select("fp")))
     named = classes.join(joined, classes["fp"] == joined["id"], "left").select("fp", "first", F.coalesce("component_id", "fp").alias("group"))
