@@ -54,9 +54,9 @@ def _without(words: Column, place: Column) -> Column:
 
 
 def deduplicate_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text without repeated lines, n_lines, n_exact, n_near and ``carry``, for each row of ``docs``.
+    """doc_id, text without repeated lines, n_lines, n_exact, n_near, n_bytes and ``carry``, for each row of ``docs``.
 
-    Lines end at a line feed. In the order of doc_id (null last), text hash and
+    n_bytes is the length of the text before. Lines end at a line feed. In the order of doc_id (null last), text hash and
     place, a line goes if an equal line stands earlier, or if its earliest
     equal stands after a line within one word of it; both are judged on the
     input. Shorter lines, blank ones included, always stay: chance repeats them
@@ -81,7 +81,8 @@ def deduplicate_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
     cut = said.withColumn("c0", F.expr(f"if(w >= {NEAR_WORDS}, {_half(0)}, null)")).withColumn("c1", F.expr(f"if(w >= {NEAR_WORDS} and {_half(1)} <> {_half(0)}, {_half(1)}, null)"))
     halves = [F.expr(f"if(c{k} is null, null, xxhash64(c{k}, {sign}, substring_index(norm, ' ', {sign} * c{k})))").alias(f"half{k}{side}") for k in (0, 1) for side, sign in (("a", 1), ("b", -1))]
     names = ["half0a", "half0b", "half1a", "half1b"]
-    seen = cut.select(at.alias("at"), "w", "c0", "c1", F.xxhash64("norm").alias("h"), *halves)
+    # hashes of every line, kept: the texts are split and hashed this once
+    seen = stored(cut.select(at.alias("at"), "w", "c0", "c1", F.xxhash64("norm").alias("h"), *halves))
     classes = stored(seen.groupBy("h", "w").agg(F.min("at").alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("c0", "c1", *names))))
 
     # lines that could have a near line: one of their halves occurs in another distinct line
@@ -108,7 +109,7 @@ def deduplicate_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
     lacking = near.select("id", "words", F.explode(places).alias("place"))
     lacking = lacking.select(key(F.slice("words", F.lit(1), F.col("place") - 1), F.slice("words", F.col("place") + 1, F.size("words"))).alias("key"), "id", "place")
     own = near.select(key(F.col("words"), F.array().cast("array<string>")).alias("key"), "id", F.lit(0).alias("place"))
-    offered = lacking.unionByName(own)
+    offered = stored(lacking.unionByName(own))
     met = offered.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     meeting = stored(offered.join(met, "key").join(near.select("id", "first"), "id").select("key", "place", F.struct("first", "id").alias("who")))
 
@@ -124,7 +125,7 @@ def deduplicate_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
     left = lambda words, place: F.when(F.col(place) == 0, F.col(words)).otherwise(_without(F.col(words), F.col(place)))
     close = checked.where(left("words", "place") == left("others", "other_place")).select("first").distinct()
 
-    whole = base.select("doc_id", "k1", "k2", "carried", F.split("text", "\n").alias("lines"))
+    whole = base.select("doc_id", "k1", "k2", "carried", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.split("text", "\n").alias("lines"))
     repeated = classes.where("n > 1").select("h", "w", "first")
     exact = seen.select("at", "h", "w").join(repeated, ["h", "w"]).where("at > first").select("at", F.lit(False).alias("near"))
     gone = exact.unionByName(close.select(F.col("first").alias("at"), F.lit(True).alias("near")))
@@ -136,6 +137,6 @@ def deduplicate_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
     text = F.when(F.col("same").isNull(), F.concat_ws("\n", "lines")).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get(F.col("lines"), i))))
     return out.select(
         "doc_id", F.when(F.col("lines").isNotNull(), text).alias("text"), F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("same"), F.lit(0)).cast("long").alias("n_exact"), F.coalesce(F.size("like"), F.lit(0)).cast("long").alias("n_near"), *(F.col(f"carried.{c}").alias(c) for c in carry),
+        F.coalesce(F.size("same"), F.lit(0)).cast("long").alias("n_exact"), F.coalesce(F.size("like"), F.lit(0)).cast("long").alias("n_near"), "n_bytes", *(F.col(f"carried.{c}").alias(c) for c in carry),
     )
 
