@@ -97,3 +97,67 @@ def test_repeated_null_and_empty(spark):
     got = sorted((r.doc_id or -1, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, 3), (3, 3), (3, 3), (5, 3), (8, 8), (9, 8)]
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def planted():
+    """Documents with copies whose words are changed here and there: Jaccard of five-word shingles on both sides of 0.8."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(3, 8)))
+    rows = []
+    for i in range(60):
+        words = [word() for _ in range(r.choice((12, 60, 150, 400)))]
+        rows.append(" ".join(words))
+        changed = list(words)
+        for at in range(7, len(words), r.choice((30, 45, 50, 60, 90))):
+            changed[at] = word()
+        rows.append(" ".join(changed).upper() if i % 2 else "  ".join(changed))
+    template = [word() for _ in range(200)]  # a chain: each step is near, its ends are not
+    for k in range(8):
+        rows.append(" ".join(["x%d" % j if j < 4 * k else w for j, w in enumerate(template)]))
+    return [*rows, rows[0], "", None, " \t", "ONE", "one", "one two"]
+
+
+def brute_similar(rows, similarity=0.8):
+    def shingled(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
+
+    sets = {i: shingled(t) for i, t in rows}
+    near = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in near:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}, near
+
+
+def test_similar_documents_equal_exact_jaccard(spark):
+    rows = list(enumerate(planted()))
+    want, near = brute_similar(rows)
+    fps = {i: brute_fingerprint(t, 5) for i, t in rows}
+    assert sum((fps[i] ^ fps[j]).bit_count() > 2 for i, j in near) > 20  # beyond the radius of op2
+    got = simhash.similar_documents(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, id int")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(rows)
+    assert sum(i % 2 == 1 and want[i] == i for i in range(120)) > 5  # copies under 0.8 stay
+
+
+def test_similar_documents_repeated_null_and_empty(spark):
+    rows = [(3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (5, "A b c d"), (9, ""), (8, None), (None, "only here")]
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, -1), (-1, 3), (3, 3), (3, 3), (5, 3), (8, 8), (9, 8)]
+    assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pipeline_stage_drops_copies_at_jaccard_0_8(spark):
+    import corpus_pipeline
+
+    rows = list(enumerate(planted()))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()}
+    assert kept == {i for i, c in brute_similar(rows)[0].items() if i == c}

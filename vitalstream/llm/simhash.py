@@ -8,10 +8,14 @@ BLOCKS-RADIUS of them. In each shard a BK-tree is grown, whose children are
 keyed by their Hamming distance to the parent, and a search follows only edges
 within the radius. Shards are dealt by shuffle and not broadcast: the trees of
 a corpus have no size bound.
+
+similar_documents() finds what a fingerprint of 64 bits is too short for: all
+documents at a stated Jaccard similarity, verified exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,6 +28,11 @@ from pyspark.sql import functions as F
 from .common import components, partitions, stored
 
 RADIUS = 2
+#: similar_documents(): BANDS bands of ROWS min-hashes; two documents at Jaccard 0.8 share one with probability 0.9996.
+BANDS, ROWS = 20, 5
+FLIP, FACTOR = np.random.default_rng(17).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Slots of texts: a filter of at most so many numbers is broadcast.
+SLOTS = 1 << 20
 #: (shift, bits) of the blocks of a fingerprint, and of the finer ones of hot shards.
 BLOCKS = [(0, 16), (16, 16), (32, 16), (48, 16)]
 HOT_SHARD = 2000
@@ -31,9 +40,14 @@ HOT_SHARD = 2000
 
 def fingerprint(text: bytes, words: int = 3) -> int:
     """SimHash of the ``words``-word shingles of ``text``; 0 without words."""
+    return _majority(shingles(text, words))
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each ``words``-word shingle of ``text``, or of all its words where they are fewer."""
     parts = text.lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(parts)
     if len(parts) < words:
         starts, ends = [0], [len(joined)]
@@ -43,12 +57,15 @@ def fingerprint(text: bytes, words: int = 3) -> int:
         starts = first[: len(parts) - words + 1].tolist()
         ends = (first + sizes)[words - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    n, count = len(starts), np.zeros(64, np.int64)
-    for k in range(0, n, 65536):
-        some = [digest(joined[i:j], 42) for i, j in zip(starts[k : k + 65536], ends[k : k + 65536], strict=True)]
-        bits = np.unpackbits(np.array(some, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    count = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 65536):
+        bits = np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         count += bits.sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * count > n).tolist())
+    return sum(1 << i for i in np.flatnonzero(2 * count > len(hashes)).tolist())
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -171,6 +188,114 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return fps.join(by_fp, fps["fp"] == by_fp["f"]).select("doc_id", "fp", "component_id")
 
 
+def _bands(hashes: np.ndarray) -> list[int]:
+    """A key for each band of the min-hashes of distinct shingles."""
+    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for k in range(0, len(hashes), 4096):
+        np.minimum(least, ((hashes[k : k + 4096, None] ^ FLIP) * FACTOR).min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each of ``sets`` (sorted, distinct) the first one it is joined to by pairs of exact Jaccard ``similarity`` or more.
+
+    Such a pair has a member in common among the rarest n - ceil(similarity * n) + 1
+    of each, so only these are indexed; a candidate already joined is not compared.
+    """
+    parent = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders: dict[int, list[int]] = {}
+    start = 0
+    for x, own in enumerate(sets):
+        n = len(own)
+        ids = place[start : start + n]
+        start += n
+        prefix = ids[np.lexsort((ids, often[ids]))][: n - math.ceil(similarity * n - 1e-9) + 1]
+        met: set[int] = set()
+        for i in prefix.tolist():
+            held = holders.setdefault(i, [])
+            met.update(held)
+            held.append(x)
+        for y in met:
+            a, b = find(x), find(y)
+            if a != b and min(n, len(sets[y])) >= similarity * max(n, len(sets[y])) - 1e-9:
+                both = len(np.intersect1d(own, sets[y], assume_unique=True))
+                if both >= similarity * (n + len(sets[y]) - both) - 1e-9:
+                    parent[max(a, b)] = min(a, b)
+    return [find(x) for x in range(len(sets))]
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs``: linked are documents whose shingle sets have Jaccard ``similarity`` or more.
+
+    A radius that holds Jaccard 0.8 (some 16 bits of 64) leaves no block of the
+    fingerprint on which linked ones must agree, so candidates come from keys
+    instead: two of the four blocks of the fingerprint, as in links(), and BANDS
+    bands of min-hashes. Documents that share a key, directly or through others,
+    form a coarse group, and within one all pairs are decided by exact Jaccard.
+
+    Documents of equal shingle sets are one class and are compared once; only
+    the texts of classes that share a key are shuffled. A coarse group is one
+    task's work. Texts without words are equal. A repeated doc_id is judged row
+    by row; a null doc_id stays and is nobody's representative.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                hashes = shingles(text or b"", words)
+                fp, own = _majority(hashes), np.unique(hashes)
+                keys = [xxhash.xxh64_intdigest(b"%d" % (fp & m), 1000 + k) for k, m in enumerate(masks)] + _bands(own)
+                rows.append((xxhash.xxh64_intdigest(own.tobytes()), keys))
+            ids = np.array([r[0] for r in rows], np.uint64).view(np.int64)
+            keys = np.array([r[1] for r in rows], np.uint64).view(np.int64).reshape(-1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (len(masks) + BANDS)), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(ids), lists], names=["doc_id", "t", "id", "keys"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def said() -> pa.RecordBatch:
+            first = similar_groups(sets, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([ids[x] for x in first], pa.int64())], names=["id", "group"])
+
+        coarse, ids, sets = None, [], []
+        for batch in batches:
+            for group, key, text in zip(*(batch.column(c).to_pylist() for c in ("coarse", "id")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if group != coarse:
+                    if ids:
+                        yield said()
+                    coarse, ids, sets = group, [], []
+                ids.append(key)
+                sets.append(np.unique(shingles(text or b"", words)))
+        if ids:
+            yield said()
+
+    masks = [sum(((1 << BLOCKS[i][1]) - 1) << BLOCKS[i][0] for i in chosen) for chosen in combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS)]
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"))
+    seen = stored(base.mapInArrow(each, "doc_id long, t long, id long, keys array<long>"))
+    classes = stored(seen.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("t").alias("t"), F.min("keys").alias("keys")))
+    keyed = classes.select("id", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    coarse = components(keyed.join(shared, "key").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    wanted = stored(coarse.select("id", F.col("component_id").alias("coarse")).join(classes.select("id", "t"), "id"))
+    # of the texts, only those in a slot of a wanted one are shuffled: SLOTS numbers at most
+    slot = lambda: F.pmod("t", F.lit(SLOTS)).alias("slot")
+    texts = base.select("t", "text", slot()).join(F.broadcast(wanted.select(slot()).distinct()), "slot", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    ordered = texts.join(wanted, "t").select("coarse", "id", "text").repartition(partitions(docs.sparkSession), "coarse").sortWithinPartitions("coarse", "id")
+    groups = stored(ordered.mapInArrow(decide, "id long, group long"))
+    named = classes.select("id", "first").join(groups, "id", "left").select("id", "first", F.coalesce("group", "id").alias("group"))
+    least = named.groupBy("group").agg(F.min("first").alias("component_id"))
+    by_id = named.join(least, "group").select(F.col("id").alias("i"), "component_id")
+    return seen.select("doc_id", "id").join(by_id, F.col("id") == F.col("i")).select("doc_id", "component_id")
+
+
 def hexadecimal(fp):
     """Sixteen lower-case hex digits of a signed 64-bit column."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
