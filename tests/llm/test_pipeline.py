@@ -85,6 +85,15 @@ def test_run_is_the_stages_and_reruns_agree(spark, tables):
     assert a == b and a
 
 
+def test_line_dedup_keeps_what_stands_nowhere_else(spark):
+    shared = [" ".join(f"{w}{k}" for w in "this passage is said again and again in many a text".split()) for k in range(6)]
+    own = "only here is this said"
+    rows = [(1, "\n".join(shared)), (2, "\n".join([*shared, own])), (3, "\n".join(["", *shared, " \t"])), (4, ""), (5, None), (6, " \n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.distinct_lines(spark, docs, "").collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: (own, len(own)), 4: ("", 0), 5: (None, None), 6: (" \n", 2)}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(r.randrange(40), r.randrange(40)) for _ in range(30)] + [(7, 7), (None, 3), (3, None), (100, 101)]
