@@ -67,6 +67,24 @@ def test_equals_brute_force(spark):
     assert all(r.text is None or r.n_lines - r.n_exact - r.n_near == len(r.text.split("\n")) or r.text == "" for r in got)
 
 
+def test_short_lines_repeat_and_lie_near(spark):
+    rows = [
+        (1, "Ietzte.\n\nIetzte.\n \t\nietzte.\nStteen Erachtz.\nthree words here"),
+        (2, "stteen  erachtz.\n\nthree words there\n这一行没有空格\n这一行没有空格\n \t"),
+        (3, "five words stand just here\nseven words are to be found here"),
+        (4, "five words stand just there\nseven words are found here\nseven words are to found here\nfour words are here"),
+        (5, "four words are there"),
+    ]
+    got = {r.doc_id: (r.text, r.n_exact, r.n_near) for r in lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {
+        1: ("Ietzte.\n\n \t\nStteen Erachtz.\nthree words here", 2, 0),
+        2: ("\nthree words there\n这一行没有空格\n \t", 2, 0),
+        3: (rows[2][1], 0, 0),
+        4: ("seven words are found here\nfour words are here", 0, 2),
+        5: ("four words are there", 0, 0),
+    }
+
+
 def test_repeated_rows_and_empty_table(spark):
     line = "one two three four five six seven eight nine"
     got = lines.deduplicate_lines(spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string")).collect()

@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-Lines are compared by their words, in lower case. Lines of MIN_WORDS words or
-more that repeat exactly are found by hash; lines of NEAR_WORDS or more are
-also compared within an edit bound of one word. For that a line emits the
+Lines are compared by their words, in lower case. Lines with a word that repeat
+exactly are found by hash; lines of NEAR_WORDS or more are also compared within
+an edit bound of one word, so four of five words or more agree. For that a line emits the
 variants that lack one of its words, as hashed keys:
 
 * two lines of equal length are one replacement apart if they share a variant
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MIN_WORDS, NEAR_WORDS = 4, 8
+MIN_WORDS, NEAR_WORDS = 1, 5
 #: Hash slots of documents: a filter of at most so many numbers is broadcast.
 SLOTS = 1 << 20
 _LAST = (1 << 63) - 1
@@ -59,8 +59,8 @@ def deduplicate_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
     n_bytes is the length of the text before. Lines end at a line feed. In the order of doc_id (null last), text hash and
     place, a line goes if an equal line stands earlier, or if its earliest
     equal stands after a line within one word of it; both are judged on the
-    input. Shorter lines, blank ones included, always stay: chance repeats them
-    in clean documents. A null text stays null and has no lines; a text all of
+    input. Lines under NEAR_WORDS words, of which one word is a quarter or more,
+    go on exact repeats only; a text without spaces is one word. Blank lines always stay. A null text stays null and has no lines; a text all of
     whose lines go becomes empty. Rows equal in doc_id and text count as one
     document, and each is returned. An empty table gives an empty result.
 
@@ -76,7 +76,7 @@ def deduplicate_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
     )
     # scanned for hashes: texts stay where they are
     said = base.select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("k1", "k2", "pos", _norm(F.col("line")).alias("norm"))
-    said = said.withColumn("w", _count(F.col("norm"))).where(F.col("w") >= MIN_WORDS)
+    said = said.withColumn("w", _count(F.col("norm"))).where((F.col("w") >= MIN_WORDS) & (F.col("norm") != ""))
     at = F.struct("k1", "k2", "pos")
     cut = said.withColumn("c0", F.expr(f"if(w >= {NEAR_WORDS}, {_half(0)}, null)")).withColumn("c1", F.expr(f"if(w >= {NEAR_WORDS} and {_half(1)} <> {_half(0)}, {_half(1)}, null)"))
     halves = [F.expr(f"if(c{k} is null, null, xxhash64(c{k}, {sign}, substring_index(norm, ' ', {sign} * c{k})))").alias(f"half{k}{side}") for k in (0, 1) for side, sign in (("a", 1), ("b", -1))]
