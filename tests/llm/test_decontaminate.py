@@ -75,6 +75,16 @@ def test_nulls_short_items_and_empty_tables(spark):
     assert decontaminate.without_leaks(d, b.limit(0)).count() == len(rows)
 
 
+def test_shared_and_missing_ids(spark):
+    texts = [" ".join(f"{w}{k}" for w in ("one", "two", "three", "four", "five", "six")) for k in range(4)]
+    b = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[1])], "item_id long, text string")
+    d = spark.createDataFrame([(k, f"xx {t} yy") for k, t in enumerate(texts)], "doc_id long, text string")
+    for block in (1, 2, 20):
+        got = decontaminate.leaks(d, b, block=block).collect()
+        assert sorted((r.doc_id, r.item_id or -1, r.first_word, r.edits) for r in got) == [(0, 1, 1, 0), (1, 1, 1, 0), (2, -1, 1, 0)]
+        assert [r.doc_id for r in decontaminate.without_leaks(d, b, block=block).collect()] == [3]
+
+
 def test_embedding_separates_near_from_far():
     r = random.Random(1)
     near = far = 0

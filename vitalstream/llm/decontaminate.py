@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,15 +94,16 @@ class Walks:
 
 
 class Search:
-    """Benchmark items with their pieces and embeddings, ready to read documents."""
+    """Benchmark items, told apart by their place in the list, with their pieces and embeddings, ready to read documents."""
 
-    def __init__(self, items: list[tuple[int, bytes]]) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes]]) -> None:
+        self.names = [name for name, _ in items]
         self.items = {}
         self.ids: dict[bytes, int] = {}
         self.pieces: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
         self.walks = Walks(WALKS)
         self.samples = math.ceil(repetitions() / WALKS)
-        for key, text in items:
+        for key, (_, text) in enumerate(items):
             words = folded(text)
             if len(words) < MIN_WORDS:
                 continue
@@ -130,8 +132,8 @@ class Search:
         made = self.walks.embed(windows, 2 * windows.shape[1])[:, walk[:, None], steps]
         return ((made == own) & (own > 0)).all(axis=2).any(axis=1)  # past the item's end there is nothing to agree on
 
-    def find(self, text: bytes | None) -> list[tuple[int, int, int, int]]:
-        """(item, first word, words, edits) of the best window of each item found in ``text``."""
+    def find(self, text: bytes | None) -> list[tuple[int | None, int, int, int]]:
+        """(item_id, first word, words, edits) of the best window of each item found in ``text``."""
         words = folded(text)
         known = self.ids.get
         ids = np.fromiter((known(w, 0) for w in words), np.int64, len(words))
@@ -152,7 +154,7 @@ class Search:
             at = sorted({max(0, min(s + d, len(ids) - 1)) for s in starts for d in range(-most, most + 1)})
             best = self._verify(key, seq, ids, at, most)
             if best:
-                out.append((key, *best))
+                out.append((self.names[key], *best))
         return out
 
     def _verify(self, key: int, seq: tuple, ids: np.ndarray, at: list[int], most: int) -> tuple[int, int, int] | None:
@@ -181,13 +183,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
     empty documents match nothing; equal documents and equal items match each
     for themselves. The benchmark is the stated query set: workers get ``block``
     items at a time, one pass over the documents for each block, so what is
-    broadcast is bounded. Map-only, no shuffle.
+    broadcast is bounded. Texts that share an item_id are found each for itself.
+    An item without an id is found with a null item_id, unless an item of the
+    same text has an id. A map over the documents, without shuffle.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    named = items.where("item_id IS NOT NULL")
+    unnamed = items.where("item_id IS NULL").join(named.select("text"), "text", "left_anti").select("item_id", "text")
     found = None
 
-    def search(part: list[tuple[int, bytes]]) -> DataFrame:
+    def search(part: list[tuple[int | None, bytes]]) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Search(part)
             for batch in batches:
@@ -201,8 +207,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
 
         return slim.mapInArrow(each, "doc_id long, item_id long, first_word long, n_words long, edits long")
 
-    part: list[tuple[int, bytes]] = []
-    for row in items.toLocalIterator():
+    part: list[tuple[int | None, bytes]] = []
+    for row in chain(named.toLocalIterator(), unnamed.toLocalIterator()):
         part.append((row[0], (row[1] or "").encode()))
         if len(part) == block:
             found, part = (search(part) if found is None else found.unionByName(search(part))), []
@@ -212,10 +218,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` in which no item of ``benchmark`` is found, as leaks() finds them, in a map without shuffle."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL")
+    """The rows of ``docs`` in which no item of ``benchmark`` is found, as leaks() finds them, in a map without shuffle. Items need no id."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
 
-    def passed(rows: DataFrame, part: list[tuple[int, bytes]]) -> DataFrame:
+    def passed(rows: DataFrame, part: list[tuple[int | None, bytes]]) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Search(part)
             for batch in batches:
@@ -224,7 +230,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
 
         return rows.mapInArrow(each, rows.schema)
 
-    part: list[tuple[int, bytes]] = []
+    part: list[tuple[int | None, bytes]] = []
     for row in items.toLocalIterator():
         part.append((row[0], (row[1] or "").encode()))
         if len(part) == block:
