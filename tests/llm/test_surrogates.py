@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from vitalstream.llm import surrogates
+from vitalstream.llm import queries, surrogates
 
 ROWS = [
     (1, "mail und.34@mail7.example.com now, tel +1 (017) 555-7713. card 4111 1111 1111 1111 and 4111111111111111!"),
@@ -37,6 +37,13 @@ def test_mentions_change_alike_and_keep_their_form(spark):
             assert all(found not in r.text for r in rows)
 
 
+def test_query_returns_every_row(spark, tmp_path):
+    spark.createDataFrame(ROWS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op8_surrogates(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.n_entities) for r in rows) == [(-1, 2), (1, 4), (2, 4), (3, 0), (4, 0), (5, 0), (6, 1), (6, 1), (6, 5)]
+    assert {r.doc_id: r.text for r in rows if not r.n_entities} == {3: None, 4: "clean 4.0. text 12 345", 5: ""}
+
+
 def test_same_key_same_text_other_key_other(spark):
     a, b, c = (sorted((r.doc_id or -1, r.text) for r in replaced(spark, key=k)) for k in ("k", "k", "q"))
     assert a == b and a != c

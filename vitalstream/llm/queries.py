@@ -41,7 +41,7 @@ def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,11 +166,11 @@ def assign(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame:
     raise RuntimeError("replacements still clash; an entity kind has fewer forms than entities")
 
 
-def replace_entities(docs: DataFrame, key: str = "surrogates") -> DataFrame:
-    """doc_id, text with replacements, n_entities: one row for each row of ``docs`` that holds an entity.
+def replace_entities(docs: DataFrame, key: str = "surrogates", whole: bool = False) -> DataFrame:
+    """doc_id, text with replacements, n_entities: one row for each row of ``docs`` that holds an entity, or with ``whole`` for each row.
 
-    Rows without one, null and empty texts included, are as they should be and
-    not returned. Rows equal in doc_id and text change alike and are returned
+    Rows without one, null and empty texts included, are as they should be; with
+    ``whole`` they are returned as they are, n_entities 0. Rows equal in doc_id and text change alike and are returned
     each. The same key gives the same replacements of the same corpus. An empty table
     gives an empty result.
 
@@ -179,12 +179,17 @@ def replace_entities(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     everywhere; distinct entities come from partial aggregates.
     """
     base = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
-    found = base.select("doc_id", "row", "text", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("surfaces")).where(F.size("surfaces") > 0)
+    surfaces = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
+    found = base.select("doc_id", "row", "text", surfaces.alias("surfaces")).where(F.size("surfaces") > 0)
     said = found.select("row", F.posexplode("surfaces").alias("pos", "surface")).withColumn("kind", kind_of(F.col("surface")))
     said = stored(said.withColumn("norm", normal(F.col("kind"), F.col("surface"))).dropDuplicates(["row", "pos"]))
     made = assign(said.select("kind", "norm").distinct(), key)
     new = said.join(made, ["kind", "norm"]).select("row", "pos", poured(F.col("kind"), F.col("surface"), F.col("made")).alias("new"))
     lists = new.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("news"))
-    whole = found.select("doc_id", "row", F.split("text", ANY, -1).alias("pieces")).join(lists, "row")
+    pieces = found.select("doc_id", "row", F.split("text", ANY, -1).alias("pieces")).join(lists, "row")
     woven = F.zip_with("pieces", "news", lambda p, n: F.concat(F.coalesce(p, F.lit("")), F.coalesce(n["new"], F.lit(""))))
-    return whole.select("doc_id", F.array_join(woven, "").alias("text"), F.size("news").cast("long").alias("n_entities"))
+    out = pieces.select("doc_id", F.array_join(woven, "").alias("text"), F.size("news").cast("long").alias("n_entities"))
+    if not whole:
+        return out
+    clean = base.where(F.coalesce(F.size(surfaces), F.lit(0)) <= 0)
+    return out.unionByName(clean.select("doc_id", "text", F.lit(0).cast("long").alias("n_entities")))
