@@ -95,3 +95,30 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{context._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def heavy_keys(counts: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys of ``counts`` (keys, n) that hold over a 2P-th of all rows, for P shuffle partitions, or None where there are none.
+
+    There are fewer than 2P of them, however large the table, so they may be broadcast.
+    """
+    parts = partitions(counts.sparkSession)
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    found = counts.where(F.col("n") * (2 * parts) > F.lit(total)).select(*keys)
+    return None if found.isEmpty() else found
+
+
+def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row for each key.
+
+    Rows of the keys in ``hot`` (as heavy_keys() finds them, so that its size is
+    bounded) meet a broadcast of their rows of ``right`` and are not shuffled;
+    all others meet by a shuffle in which no key is large.
+    """
+    if hot is None:
+        return left.join(right, keys)
+    few = F.broadcast(hot)
+    light = left.join(few, keys, "left_anti").join(right.join(few, keys, "left_anti"), keys)
+    return light.unionByName(left.join(F.broadcast(right.join(few, keys, "left_semi")), keys).select(light.columns))
