@@ -49,3 +49,15 @@ def test_mix_meets_targets(spark):
     again = mixing.mix(docs.repartition(7), carry=("source",)).collect()
     assert sorted(map(tuple, (g[:6] for g in got))) == sorted(map(tuple, (g[:6] for g in again)))
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_a_shared_doc_id_and_long_texts(spark):
+    rows = [(None if i % 2 else 1, f"w{i} w w", "s") for i in range(400)] + [(2, "w " * 30_000, "t"), (3, None, "t"), (4, "", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS order", "2 AS passes", "'c' AS carried", "0 AS some")
+    got = mixing.mix(docs).collect()
+    goal = mixing.targets({"s": 1200, "t": 30_000, "u": 0})
+    assert len(got) == len(rows) and {r.source_size for r in got} == {1200, 30_000, 0}
+    assert abs(sum(r.taken for r in got if r.source_size == 1200) - goal["s"]) <= 2 and all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in got)
+    assert {r.doc_id: r.taken for r in got if r.doc_id in (3, 4)} == {3: 0, 4: 0}
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_count" not in plan

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD
+from .common import WORD, stored
 
 MAX_REPEATS = 3
 BUCKETS = 1024
@@ -124,18 +124,23 @@ def mix(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3), car
     aggregates, so a hot source sends one row for each of its lengths from each
     task. The lengths of a source, not its documents, meet in one task. Which
     documents of a length join is decided by counts over 1024 hash buckets of
-    that length, and a rank in the one bucket that is cut.
+    that length, and a rank in the one bucket that is cut. Texts of any length
+    are counted whole. The order hashes doc_id and text, so a doc_id that many
+    texts share, or that is null, does not gather them in a bucket; rows equal in
+    both are ranked by one task, in a sort that spills.
     """
     spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.xxhash64(text))
     sized = docs.select(
-        "doc_id",
-        F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.struct("doc_id", *carry).alias("carried"),
-    ).withColumn("order", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
-    sized = sized.withColumn("bucket", F.pmod("order", F.lit(BUCKETS)).cast("int"))
+        "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        order.alias("order"), F.pmod(order, F.lit(BUCKETS)).cast("int").alias("bucket"), *([F.struct(*carry).alias("carried")] if carry else []),
+    )
+    # words are counted this once; what is carried is read again for the last join only
+    slim = stored(sized.select("doc_id", "source", "size", "order", "bucket"))
+    sized = sized if carry else slim
     # one row for each length of a source: bounded by the lengths that occur
-    lengths = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
+    lengths = slim.groupBy("source", "size").agg(F.count("*").alias("n"))
     sums = {r["source"]: int(r["s"]) for r in lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()}
     goal = targets(sums, cycle)
     rows = [(s, sums[s], float(goal[s])) for s in sums]
@@ -156,7 +161,7 @@ def mix(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3), car
         .groupBy("source").applyInPandas(plan, "source string, size long, passes long, k long")
     )
     # buckets wholly below the cut are taken; the one at the cut is ranked
-    counts = sized.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
+    counts = slim.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = counts.withColumn("before", before)
     cuts = (
