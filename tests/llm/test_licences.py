@@ -50,8 +50,51 @@ def test_matching_statistics_equal_brute_force():
         subs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
         for i, s, n in a.matches(text):
             assert n == max((k for k in range(1, i + 2) if tuple(text[i - k + 1 : i + 1]) in subs), default=0)
-            for t, end in a.ends[s].items():
-                assert n == 0 or seqs[t][end - n + 1 : end + 1] == text[i - n + 1 : i + 1]
+            for t, seq in enumerate(seqs):
+                want = [e for e in range(n - 1, len(seq)) if n and seq[e - n + 1 : e + 1] == text[i - n + 1 : i + 1]]
+                assert n == 0 or sorted(a.ends[s].get(t, ())) == want
+
+
+def brute_cover(template, words, gap, least):
+    """Most words of a template that any chain of common stretches covers, over all stretches of ``least`` words or more."""
+    stretches = [
+        (x, y, n) for x in range(len(words)) for y in range(len(template))
+        for n in range(least, min(len(words) - x, len(template) - y) + 1) if words[x : x + n] == template[y : y + n]
+    ]
+    stretches.sort()
+    best = []
+    for x, y, n in stretches:
+        best.append(n + max((b for b, (p, q, m) in zip(best, stretches, strict=False) if 0 <= x - p - m <= gap and 0 <= y - q - m <= gap), default=0))
+    return max(best, default=0)
+
+
+def test_chains_cover_what_brute_force_covers():
+    r = random.Random(6)
+    worse = 0
+    for _ in range(120):
+        template = [r.choice("abcdef") for _ in range(r.randint(6, 14))]
+        scanner = licences.Scanner([("t", " ".join(template))], {"zz zz zz zz": "z"})
+        words = [r.choice("abcdefx") for _ in range(5)] + template[: r.randint(3, len(template))] + ["x"] * r.randint(0, 2) + template[r.randint(0, 4) :] + ["x"]
+        cover = scanner.scan(" ".join(words).encode())[2].get("t", 0.0)
+        low, high = (brute_cover(template, words, licences.MAX_GAP, k) / len(template) for k in (licences.MIN_MATCH, 1))
+        assert cover <= high + 1e-9  # what overlaps is cut, so that parts of any length count
+        worse += cover < low - 1e-9  # a chain of maximal matches can miss a cut within one
+    assert worse <= 12
+
+
+def test_stray_matches_do_not_break_a_chain():
+    text = licences.TEMPLATES[0][1].split()
+    words = text[:20] + text[3:7] + text[20:]
+    spans = licences.Scanner().scan(" ".join(words).encode())[3]
+    assert ("mit", 0, len(words) - 1, 1.0) in spans
+    assert [s[:3] for s in licences.Scanner().scan(" ".join([*text, *["w"] * 3, *text]).encode())[3] if s[3] == 1.0 and s[2] - s[1] > 30] == [("mit", 0, len(text) - 1), ("mit", len(text) + 3, 2 * len(text) + 2)]
+
+
+def test_repeated_rows_and_long_texts(spark):
+    text = "Licensed under the MIT license. " + "the software without restriction " * 20_000
+    rows = [(1, text), (1, text), (None, "under the mit license"), (2, "x")]
+    got = sorted((r.doc_id or 0, r.n_base, r.score, r.n_words) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 1, 1.0, 4), (1, 1, 1.0, 80_005), (1, 1, 1.0, 80_005), (2, 0, 0.0, 1)]
 
 
 def test_empty_table(spark):

@@ -39,6 +39,17 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc0", "has waived all copyright and related or neighboring rights to this work"),
 ]
 MIN_MATCH, MAX_GAP, COVER = 3, 12, 0.8
@@ -50,21 +61,21 @@ FOLD = bytes(
 
 
 class SuffixAutomaton:
-    """Of several token sequences; a state knows where one occurrence of it ends, for each template."""
+    """Of several token sequences; a state knows all places where it ends, by template."""
 
     def __init__(self, sequences: list[list[int]]) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, list[int]]] = [{}]
         for t, seq in enumerate(sequences):
             last = 0
             for i, c in enumerate(seq):
                 last = self._extend(last, c)
-                self.ends[last].setdefault(t, i)
+                self.ends[last].setdefault(t, []).append(i)
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for t, i in self.ends[s].items():
+            for t, places in self.ends[s].items():
                 if self.link[s] > 0:
-                    self.ends[self.link[s]].setdefault(t, i)
+                    self.ends[self.link[s]].setdefault(t, []).extend(places)
 
     def _state(self, length: int) -> int:
         self.next.append({})
@@ -149,29 +160,44 @@ class Scanner:
 
     def _note(self, long: list, start: int, match: tuple[int, int, int]) -> None:
         i, s, n = match
-        for t, end in self.automaton.ends[s].items():
+        for t, ends in self.automaton.ends[s].items():
             if t < self.n_templates:
-                long.append((t, start + i - n + 1, end - n + 1, n))
+                long += ((t, start + i - n + 1, end - n + 1, n) for end in ends)
 
     def _chain(self, long: list[tuple[int, int, int, int]]) -> tuple[dict[str, float], list[tuple[str, int, int, float]]]:
-        """Colinear matches with gaps of MAX_GAP words at most, by template."""
+        """Best colinear chains, by template: matches in order in text and template, with gaps of MAX_GAP words at most.
+
+        A match may overlap the one before it; what both cover counts once. Of
+        chains that share a place in the text the one that covers most is a span.
+        """
         covers: dict[str, float] = {}
         spans = []
         by: dict[int, list[tuple[int, int, int]]] = {}
-        for t, x, y, n in sorted(long):
+        for t, x, y, n in sorted(set(long)):
             by.setdefault(t, []).append((x, y, n))
         for t, parts in by.items():
-            total, open_ = len(self.sequences[t]), None
-            for x, y, n in [*parts, (1 << 60, 0, 0)]:
-                if open_ and 0 <= x - open_[1] <= MAX_GAP and 0 <= y - open_[2] <= MAX_GAP:
-                    open_ = (open_[0], x + n, y + n, open_[3] + n)
-                    continue
-                if open_ and (cover := open_[3] / total) >= COVER:
-                    spans.append((self.labels[t], open_[0], open_[1] - 1, cover))
-                if open_:
-                    covers[self.labels[t]] = max(covers.get(self.labels[t], 0), open_[3] / total)
-                open_ = (x, x + n, y + n, n)
-        return covers, spans
+            total, label = len(self.sequences[t]), self.labels[t]
+            best: list[tuple[int, int]] = []  # words covered, first word of the text
+            first = 0
+            for j, (x, y, n) in enumerate(parts):
+                top = (n, x)
+                while parts[first][0] + total + MAX_GAP < x:  # too far back to reach x
+                    first += 1
+                for i in range(first, j):
+                    x0, y0, n0 = parts[i]
+                    shared = max(0, x0 + n0 - x, y0 + n0 - y)
+                    if x0 < x and y0 < y and shared < n and x - x0 - n0 <= MAX_GAP and y - y0 - n0 <= MAX_GAP:
+                        top = max(top, (best[i][0] + n - shared, best[i][1]))
+                best.append(top)
+            covers[label] = max(covers.get(label, 0), max(b[0] for b in best) / total)
+            taken: list[tuple[int, int]] = []
+            for covered, start, end in sorted((-b[0], b[1], x + n) for b, (x, _, n) in zip(best, parts, strict=True)):
+                if -covered / total < COVER:
+                    break
+                if all(end <= a or start >= z for a, z in taken):
+                    taken.append((start, end))
+                    spans.append((label, start, end - 1, min(1.0, -covered / total)))
+        return {k: min(1.0, v) for k, v in covers.items()}, sorted(spans, key=lambda s: s[1])
 
 
 SCAN_SCHEMA = (
@@ -185,7 +211,8 @@ def scan_licences(docs: DataFrame) -> DataFrame:
 
     score is 1 with a base label, else the best cover of a template, 0 to 1.
     Null and empty texts have no words and no label; repeated rows are scanned
-    each; an empty table gives an empty result. Map-only: no shuffle, and one
+    each; an empty table gives an empty result. Texts of any length are scanned
+    whole; where chains tie, the earlier is the span. Map-only: no shuffle, and one
     Arrow batch in memory.
     """
 
