@@ -41,11 +41,12 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_equals_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, cut", [(20_000, 60_000), (2, 50)])
+def test_equals_brute_force(spark, monkeypatch, hot, cut):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "SORTED", cut)
     rows = corpus(7)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnsRenamed({}).selectExpr("*", "1 as k1", "'x' as spans")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k1", "'x' as spans", "2 as start", "3 as end", "4 as kh", "5 as first")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove_repeats(docs).collect()}
     want = dict(zip(sorted(i for i, _ in rows), brute(rows), strict=True))
     assert got == want
@@ -80,3 +81,33 @@ def test_deep_shallow_order():
     want = sorted(range(300), key=lambda i: (group[i], rows[i].tobytes()))
     assert [rows[i].tobytes() for i in got] == [rows[i].tobytes() for i in want]
     assert (group[got] == group).all()
+
+
+def digest(docs):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove_repeats(docs).collect()}
+
+
+def test_an_anchor_that_is_everywhere(spark):
+    """One passage in every document, in surroundings of its own or alike: its anchors hold most of all records."""
+    r = random.Random(9)
+    passage = "".join(r.choices("abcdefgh ", k=140))
+    rows = [(i, "".join(r.choices("ijklmn", k=r.randint(0, 30))) + (passage if i % 5 else passage[20:]) + ("tail" if i % 2 else "".join(r.choices("opqrst", k=40)))) for i in range(150)]
+    assert digest(spark.createDataFrame(rows, "doc_id long, text string")) == dict(zip([i for i, _ in rows], brute(rows), strict=True))
+
+
+def test_a_text_of_several_chunks(spark, monkeypatch):
+    """Strings across the border of two chunks are found, and a text of over a million bytes is read whole."""
+    r = random.Random(10)
+    long = "".join(r.choices("abcdefghijklmnop", k=1_060_000))
+    border = suffixes.CHUNK
+    rows = [(1, long), (2, "x" * 10 + long[border - 130 : border + 90] + "y" * 10), (3, long[-150:] + "z"), (4, long[border - 50 : border + 49])]
+    got = digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [got[k][:3] for k in (1, 2, 3, 4)] == [(1_060_000, 0, 0), (240, 220, 1), (151, 150, 1), (99, 0, 0)]
+    monkeypatch.setattr(suffixes, "CHUNK", 64)
+    small = corpus(11)[:30]
+    anchors = lambda t: sorted(zip(*(np.concatenate(c).tolist() for c in zip(*suffixes.anchors(np.frombuffer(t, np.uint8)), strict=True)), strict=True))
+    for _, text in small:
+        data = (text or "").encode()
+        if len(data) >= 100:
+            covered = sorted((p + k) for _, _, p, n, _ in anchors(data) for k in range(n))
+            assert covered == list(range(len(data) - 99))

@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import heavy_keys, join_heavy, partitions, stored
 
 SPAN, KGRAM, SHALLOW = 100, 32, 16
 REACH = SPAN - KGRAM
 #: Distinct surroundings of one anchor that one task sorts; beyond it, its strings are dealt one by one.
 HOT = 20_000
 CHUNK = 1 << 20
+#: Records that a task sorts at once; a group is never cut.
+SORTED = 60_000
 _LAST = (1 << 63) - 1
 _M = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -278,16 +280,29 @@ def repeated_spans(base: DataFrame) -> DataFrame:
     """(k1, k2, start, end): bytes covered by strings that also start earlier. ``base`` has k1, k2, text."""
     at = F.struct("k1", "k2", "pos")
     found = base.select("k1", "k2", "text").mapInArrow(_find_anchors, "k1 long, k2 long, kh long, ch long, pos long, runs int, off int")
-    often = found.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh")
-    some = stored(found.join(often, "kh"))
-
-    # records with equal surroundings: all but the earliest are repeated whole
-    classes = some.groupBy("kh", "ch").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.min("runs").alias("runs"), F.min("off").alias("off"))
-    whole = some.join(classes.where("n > 1").select("kh", "ch", "first"), ["kh", "ch"]).where(at > F.col("first")).select("k1", "k2", F.col("pos").alias("start"), (F.col("pos") + F.col("runs") + SPAN - 1).alias("end"))
-
-    # the earliest of each class, where an anchor has several
-    kinds = classes.groupBy("kh").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = classes.join(kinds, "kh").select("kh", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"), "runs", "off", (F.col("kinds") > HOT).alias("hot"))
+    often = stored(found.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = heavy_keys(often, ["kh"])
+    some = stored(join_heavy(found, often.select("kh"), ["kh"], hot))
+
+    def by_class(rows: DataFrame, light: bool) -> tuple[DataFrame, DataFrame]:
+        """Records with equal surroundings: all but the earliest, repeated whole; and the earliest, where an anchor has several."""
+        classes = rows.groupBy("kh", "ch").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.min("runs").alias("runs"), F.min("off").alias("off"))
+        classes = classes if light else stored(classes)
+        keys = ["kh", "ch"]
+        later = join_heavy(rows, classes.where("n > 1").select("kh", "ch", "first"), keys, None if light else heavy_keys(classes.select("kh", "ch", "n"), keys))
+        later = later.where(at > F.col("first")).select("k1", "k2", F.col("pos").alias("start"), (F.col("pos") + F.col("runs") + SPAN - 1).alias("end"))
+        kinds = classes.groupBy("kh").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        # of heavy anchors there are few, so their counts are broadcast
+        several = classes.join(kinds if light else F.broadcast(kinds), "kh")
+        return later, several.select("kh", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"), "runs", "off", (F.col("kinds") > HOT).alias("hot"))
+
+    if hot is None:
+        whole, several = by_class(some, True)
+    else:
+        few = F.broadcast(hot)
+        whole, several = by_class(some.join(few, "kh", "left_anti"), True)
+        heavy_whole, heavy_several = by_class(some.join(few, "kh", "left_semi"), False)
+        whole, several = whole.unionByName(heavy_whole), several.unionByName(heavy_several)
     wanted = several.groupBy("k1", "k2").agg(F.collect_list(F.struct("kh", "pos", "runs", "off", "hot")).alias("want"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +344,7 @@ def repeated_spans(base: DataFrame) -> DataFrame:
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 60_000:
+            if rows >= SORTED:
                 t = pa.Table.from_batches(held)
                 kh = t.column("kh").to_numpy()
                 edge = int(np.searchsorted(kh, kh[-1]))  # the last group may go on
@@ -373,9 +388,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     one document and each is returned. Texts under SPAN bytes keep all. An
     empty table gives an empty result.
 
-    Hashes alone decide which anchors are dealt further, by a partial aggregate
-    and a join that AQE may split; surroundings that are equal collapse before
-    any text moves. An anchor with over HOT distinct surroundings deals its
+    Hashes alone decide which anchors are dealt further, by a partial aggregate;
+    rows of an anchor that holds over a 2P-th of them, for P partitions, are
+    spread, and only counts of it meet. Surroundings that are equal collapse
+    before any text moves. Texts over CHUNK bytes are read chunk by chunk, each
+    with the bytes that its last strings reach into. An anchor with over HOT distinct surroundings deals its
     strings by 128-bit hash, one row each, under a partial aggregate.
     """
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k1"), F.xxhash64(F.col("text").cast("string")).alias("k2"), F.col("text").cast("string").alias("text"))
