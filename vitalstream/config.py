@@ -8,9 +8,60 @@ from dataclasses import dataclass, fields, replace
 
 @dataclass(frozen=True)
 class ChannelConfig:
-    """What a channel runs with; two presets, clinical and patch."""
+    """What a channel runs with; two presets, clinical and patch. Times are in ms unless the name says otherwise."""
 
     fs: float = 250.0
+    # filter bank
+    high_pass_hz: float = 0.5
+    low_pass_hz: float = 40.0
+    notch_hz: float = 2.0
+    qrs_low_hz: float = 5.0
+    qrs_high_hz: float = 20.0
+    wave_hz: float = 10.0
+    noise_hz: float = 40.0
+    saturation_mv: float = 5.0
+    mains_snr: float = 6.0
+    # signal quality
+    window_ms: float = 2000.0
+    hop_ms: float = 250.0
+    reference_ms: float = 300_000.0
+    kurtosis_warn: float = 2.5
+    kurtosis_bad: float = 0.5
+    hf_warn: float = 0.10
+    hf_bad: float = 0.35
+    base_warn: float = 0.50
+    base_bad: float = 0.85
+    qrs_ratio_warn: float = 0.22
+    qrs_ratio_bad: float = 0.08
+    amplitude_low: float = 0.30
+    amplitude_high: float = 2.0
+    amplitude_off: float = 0.15
+    saturated_bad: float = 0.02
+    flat_bad: float = 0.90
+    flat_share: float = 1e-3
+    relative_bad: float = 0.20
+    relative_warn: float = 0.60
+    score_bad: float = 0.50
+    score_warn: float = 0.75
+    # electrode
+    rail_share: float = 0.25
+    open_amplitude: float = 4.0
+    open_qrs: float = 0.35
+    quiet_ms: float = 3000.0
+    enter_hops: int = 2
+    exit_hops: int = 4
+    # beat detector
+    integration_ms: float = 120.0
+    refractory_ms: float = 200.0
+    t_wave_ms: float = 360.0
+    threshold_share: float = 0.15
+    peak_quantile: float = 0.5
+    peak_drop: float = 0.5
+    search_back: float = 1.66
+    refine_ms: float = 40.0
+    learn_ms: float = 2000.0
+    suppress_unusable: bool = False
+    # beats and rhythm
     tolerance_ms: float = 150.0
     short_ms: float = 200.0
     long_ms: float = 3000.0
@@ -18,19 +69,34 @@ class ChannelConfig:
     asystole_ms: float = 4000.0
     slow_bpm: float = 50.0
     fast_bpm: float = 100.0
+    quiet_energy: float = 0.014
     af_enter: float = 0.92
     af_leave: float = 0.72
     af_sustained_s: float = 30.0
     vf_enter: float = 0.80
     vf_leave: float = 0.55
+    vf_suppress: float = 0.75
+    vf_suppress_s: float = 10.0
     join_ncc: float = 0.90
     merge_ncc: float = 0.95
+    shape_rate: float = 0.02
+    most_shapes: int = 64
+    template_ncc: float = 0.90
+    atrial_ncc: float = 0.70
+    template_rate: float = 0.05
+    hold_ncc: float = 2.0
+    max_blind: int = 0
+    legible_ncc: float = 0.95
     sv_runs: bool = False
 
     def __post_init__(self) -> None:
         if not 50 <= self.fs <= 4000:
             raise ValueError(f"a rate of {self.fs} Hz is not within 50 to 4000")
 
+    def samples(self, ms: float) -> int:
+        """A time in samples, rounded half up, one at least."""
+        return max(1, int(self.fs * ms / 1000.0 + 0.5))
+
     def override(self, **values: str | float | bool) -> ChannelConfig:
         """A copy with some settings changed; text is read as the setting's type, an unknown name is an error."""
         kinds = {f.name: type(getattr(self, f.name)) for f in fields(self)}

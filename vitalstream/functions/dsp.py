@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from copy import copy
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
-BLOCK = 128
+from ..config import ChannelConfig
+
+BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -48,6 +52,15 @@ def group_delay(sections: list[Section], f: float, fs: float) -> float:
     return float(-d / (2 * df * 2 * np.pi / fs))
 
 
+def magnitude(sections: list[Section], f: float, fs: float) -> float:
+    return float(abs(np.prod([s.response(f, fs) for s in sections])))
+
+
+def phase(sections: list[Section], f: float, fs: float) -> float:
+    """Radians, of all sections together and so not wrapped at each."""
+    return float(sum(np.angle(s.response(f, fs)) for s in sections))
+
+
 class Cascade:
     """Sections one after the other, exact over blocks: y = T x + O s within a block of BLOCK samples, then s moves on."""
 
@@ -64,7 +77,7 @@ class Cascade:
             t = np.array([[impulse[i - j] if i >= j else 0.0 for j in range(BLOCK)] for i in range(BLOCK)])
             o = np.array([p[0] for p in powers[:BLOCK]])
             drive = np.array([powers[BLOCK - 1 - k] @ b for k in range(BLOCK)]).T
-            self.parts.append((s, a, b, t, o, drive, powers[BLOCK]))
+            self.parts.append((t, o, drive, powers))
         self.state: list[np.ndarray] | None = None
 
     def reset(self) -> None:
@@ -86,23 +99,94 @@ class Cascade:
             return y
         if self.state is None:
             self._prime(float(y[0]))
-        for k, (s, a, b, t, o, drive, far) in enumerate(self.parts):
-            whole = len(y) // BLOCK
+        for k, (t, o, drive, powers) in enumerate(self.parts):
+            whole, rest = divmod(len(y), BLOCK)
             out, state = np.empty(len(y)), self.state[k]
             if whole:
                 blocks = y[: whole * BLOCK].reshape(whole, BLOCK)
                 pushed, states = blocks @ drive.T, np.empty((whole, 2))
                 for i in range(whole):
                     states[i] = state
-                    state = far @ state + pushed[i]
+                    state = powers[BLOCK] @ state + pushed[i]
                 out[: whole * BLOCK] = (blocks @ t.T + states @ o.T).ravel()
-            for i in range(whole * BLOCK, len(y)):
-                out[i] = s.b0 * y[i] + state[0]
-                state = a @ state + b * y[i]
+            if rest:
+                x = y[whole * BLOCK :]
+                out[whole * BLOCK :] = t[:rest, :rest] @ x + o[:rest] @ state
+                state = powers[rest] @ state + drive[:, BLOCK - rest :] @ x
             self.state[k], y = state, out
         return y
 
 
+class Bank:
+    """Signals that are filtered from one input or from each other, as one linear system.
+
+    ``add`` feeds a signal through sections and gives a new one. All signals of a
+    block of BLOCK samples are one matrix product, and one state moves from block
+    to block, however many sections there are.
+    """
+
+    def __init__(self) -> None:
+        self.a, self.b = np.zeros((0, 0)), np.zeros(0)
+        self.source = (np.zeros(0), 1.0)
+        self.taps: list[tuple[np.ndarray, float]] = []
+        self.state: np.ndarray | None = None
+
+    def add(self, signal: tuple[np.ndarray, float], sections: list[Section]) -> tuple[np.ndarray, float]:
+        for s in sections:
+            c, d = np.r_[signal[0], np.zeros(len(self.b) - len(signal[0]))], signal[1]
+            own = np.array([s.b1 - s.a1 * s.b0, s.b2 - s.a2 * s.b0])
+            n = len(self.b)
+            a = np.zeros((n + 2, n + 2))
+            a[:n, :n], a[n:, :n], a[n:, n:] = self.a, np.outer(own, c), [[-s.a1, 1.0], [-s.a2, 0.0]]
+            self.a, self.b = a, np.r_[self.b, own * d]
+            signal = np.r_[s.b0 * c, 1.0, 0.0], s.b0 * d
+        return signal
+
+    def close(self, taps: list[tuple[np.ndarray, float]]) -> None:
+        n = len(self.b)
+        self.taps = [(np.r_[c, np.zeros(n - len(c))], d) for c, d in taps]
+        powers = [np.eye(n)]
+        for _ in range(BLOCK):
+            powers.append(self.a @ powers[-1])
+        self.powers = powers
+        self.drive = np.array([powers[BLOCK - 1 - k] @ self.b for k in range(BLOCK)]).T
+        self.kernel, self.from_state = [], []
+        lower = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+        for c, d in self.taps:
+            impulse = np.r_[d, [c @ p @ self.b for p in powers[: BLOCK - 1]]]
+            self.kernel.append(np.where(lower >= 0, impulse[np.maximum(lower, 0)], 0.0))
+            self.from_state.append(np.array([c @ p for p in powers[:BLOCK]]))
+        self.all_kernels = np.concatenate(self.kernel).T.copy()
+        self.all_states = np.concatenate(self.from_state).T.copy()
+
+    def reset(self) -> None:
+        self.state = None
+
+    def process(self, x: np.ndarray) -> list[np.ndarray]:
+        """All taps of ``x``; the first sample of all is taken to have been there for ever, so that a start is no step."""
+        if not len(x):
+            return [np.zeros(0) for _ in self.taps]
+        if self.state is None:
+            self.state = np.linalg.solve(np.eye(len(self.b)) - self.a, self.b * x[0])
+        whole, rest = divmod(len(x), BLOCK)
+        out, state, m = np.empty((len(self.taps), len(x))), self.state, len(self.taps)
+        if whole:
+            blocks = x[: whole * BLOCK].reshape(whole, BLOCK)
+            pushed, states, far = blocks @ self.drive.T, np.empty((whole, len(state))), self.powers[BLOCK]
+            for i in range(whole):
+                states[i] = state
+                state = far @ state + pushed[i]
+            made = blocks @ self.all_kernels + states @ self.all_states
+            out[:, : whole * BLOCK] = made.reshape(whole, m, BLOCK).transpose(1, 0, 2).reshape(m, -1)
+        if rest:
+            tail = x[whole * BLOCK :]
+            for k in range(m):
+                out[k, whole * BLOCK :] = self.kernel[k][:rest, :rest] @ tail + self.from_state[k][:rest] @ state
+            state = self.powers[rest] @ state + self.drive[:, BLOCK - rest :] @ tail
+        self.state = state
+        return list(out)
+
+
 def tone_power(x: np.ndarray, f: float, fs: float) -> float:
     """Power at one frequency, over the window squared."""
     w = np.exp(-2j * np.pi * f / fs * np.arange(len(x)))
@@ -121,59 +205,40 @@ def mains_frequency(first: np.ndarray, fs: float, candidates=(50.0, 60.0), side:
     return best[1]
 
 
-@dataclass
+@lru_cache(maxsize=32)
+def _design(cfg: ChannelConfig, mains: float | None) -> tuple[dict[str, list[Section]], Bank]:
+    """Sections and the closed system of a filter bank."""
+    fs = cfg.fs
+    notch = [section("notch", k * mains, fs, mains / cfg.notch_hz) for k in (1, 2) if k * mains < 0.45 * fs] if mains else []
+    parts = {
+        "high": butterworth("high", cfg.high_pass_hz, fs, 2), "clean": [*notch, *butterworth("low", cfg.low_pass_hz, fs, 4)],
+        "qrs": [*butterworth("high", cfg.qrs_low_hz, fs, 2), *butterworth("low", cfg.qrs_high_hz, fs, 2)],
+        "wave": butterworth("low", cfg.wave_hz, fs, 2), "hf": butterworth("high", cfg.noise_hz, fs, 2),
+    }
+    bank = Bank()
+    high = bank.add(bank.source, parts["high"])
+    clean = bank.add(high, parts["clean"])
+    bank.close([high, clean, bank.add(clean, parts["qrs"]), bank.add(clean, parts["wave"]), bank.add(bank.source, parts["hf"])])
+    return parts, bank
+
+
 class FilterBank:
-    """Taps of a channel: baseline, clean, qrs and high-frequency bands, and where the input saturates."""
-
-    fs: float
-    mains: float | None = None
-    limit: float = 5.0
-    parts: dict[str, Cascade] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        fs = self.fs
-        notch = [section("notch", k * self.mains, fs, self.mains / 2.0) for k in (1, 2) if k * self.mains < 0.45 * fs] if self.mains else []
-        self.parts = {
-            "high": Cascade(butterworth("high", 0.5, fs, 2)),
-            "clean": Cascade([*notch, *butterworth("low", 40.0, fs, 4)]),
-            "qrs": Cascade([*butterworth("high", 5.0, fs, 2), *butterworth("low", 20.0, fs, 2)]),
-            "hf": Cascade(butterworth("high", 40.0, fs, 2)),
-        }
+    """Taps of a channel: baseline, clean, qrs, wave and high-frequency bands, and where the input saturates."""
+
+    def __init__(self, cfg: ChannelConfig, mains: float | None = None) -> None:
+        self.cfg, self.mains = cfg, mains
+        self.parts, made = _design(cfg, mains)
+        self.bank = copy(made)  # the matrices are shared, the state is not
 
     def reset(self) -> None:
-        for c in self.parts.values():
-            c.reset()
+        self.bank.reset()
+
+    def delay(self, tap: str, hz: float) -> float:
+        """Samples by which a tap lags the input at ``hz``."""
+        path = {"clean": ("high", "clean"), "qrs": ("high", "clean", "qrs"), "wave": ("high", "clean", "wave")}[tap]
+        return sum(group_delay(self.parts[p], hz, self.cfg.fs) for p in path)
 
     def process(self, x: np.ndarray) -> dict[str, np.ndarray]:
         x = np.asarray(x, np.float64)
-        hp = self.parts["high"].process(x)
-        clean = self.parts["clean"].process(hp)
-        return {"raw": x, "baseline": x - hp, "clean": clean, "qrs": self.parts["qrs"].process(clean), "hf": self.parts["hf"].process(x), "saturated": np.abs(hp) >= self.limit}
-
-
-def spectrum_features(x: np.ndarray, fs: float) -> dict[str, float]:
-    """Concentration, band shares and entropy of a tapered window, over 0.5 to 30 Hz."""
-    x = np.asarray(x, float) - np.mean(x)
-    n = 1 << (len(x) - 1).bit_length()
-    p = np.abs(np.fft.rfft(x * np.hanning(len(x)), n)) ** 2
-    f = np.fft.rfftfreq(n, 1 / fs)
-    use = (f >= 0.5) & (f <= 30)
-    total = p[use].sum()
-    if total <= 0:
-        return {"peak_hz": 0.0, "concentration": 0.0, "band": 0.0, "high": 0.0, "entropy": 0.0}
-    near = use & (f >= 1) & (f <= 10)
-    peak = float(f[near][np.argmax(p[near])])
-    share = lambda lo, hi: float(p[use & (f >= lo) & (f <= hi)].sum() / total)
-    q = p[use] / total
-    q = q[q > 0]
-    return {"peak_hz": peak, "concentration": share(0.5 * peak, 1.5 * peak), "band": share(2.5, 7.5), "high": share(12, 30), "entropy": float(-(q * np.log(q)).sum() / np.log(use.sum()))}
-
-
-def phase_density(x: np.ndarray, lag: int, cells: int = 40) -> float:
-    """Share of the cells of a lagged plot that the window visits."""
-    a, b = x[:-lag], x[lag:]
-    lo, hi = float(np.min(x)), float(np.max(x))
-    if hi <= lo:
-        return 0.0
-    place = lambda v: np.minimum(((v - lo) / (hi - lo) * cells).astype(int), cells - 1)
-    return len(np.unique(place(a) * cells + place(b))) / cells**2
+        high, clean, qrs, wave, hf = self.bank.process(x)
+        return {"raw": x, "baseline": x - high, "clean": clean, "qrs": qrs, "wave": wave, "hf": hf, "saturated": np.abs(high) >= self.cfg.saturation_mv}

@@ -19,13 +19,14 @@ def binary_counts(rows: DataFrame, truth: Column, called: Column, *keys: str) ->
     return rows.groupBy(*keys).agg(F.count_if(t & c).alias("tp"), F.count_if(~t & c).alias("fp"), F.count_if(t & ~c).alias("fn"), F.count_if(~t & ~c).alias("tn"))
 
 
-def rank_auc(rows: DataFrame, score: str, positive: str, *keys: str, digits: int = 6) -> DataFrame:
+def rank_auc(rows: DataFrame, score: str, positive: str, *keys: str, digits: int | None = None) -> DataFrame:
     """(keys, auc, n): area under the curve with average ranks for ties.
 
-    Scores are counted first, at ``digits`` digits, so what is ranked is one row
-    for each distinct score and not one for each input row.
+    Equal scores are counted first, so what is ranked is one row for each
+    distinct score and not one for each input row. With ``digits`` scores count
+    as equal at so many digits.
     """
-    counted = rows.withColumn("_s", F.round(score, digits)).groupBy(*keys, "_s").agg(F.count("*").alias("n"), F.count_if(positive).alias("p"))
+    counted = rows.withColumn("_s", F.round(score, digits) if digits is not None else F.col(score)).groupBy(*keys, "_s").agg(F.count("*").alias("n"), F.count_if(positive).alias("p"))
     w = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counted.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
     out = ranked.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum("p").alias("pos"), F.sum("n").alias("n"))

@@ -8,22 +8,40 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.beats import Leader
-from ..functions.dsp import phase_density, spectrum_features
+from ..functions import fibrillation
+from ..functions.shapes import Leader
 from ..operators import channel, fitting, metrics, scoring
 from ..sources.tables import synthetic_packets
-from .rhythm import beats
+from .rhythm import BEATS_SQL, beats
 
 
-def synthetic_beats(spark, sf_dir):
-    """Beats that the kernel finds in a minute of made signal on as many channels as there are nations."""
+def _analysed(spark, sf_dir):
+    """Events of a minute of made signal on as many channels as there are nations."""
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").count()
-    return channel.detect_beats(synthetic_packets(spark, n, 60, 72.0))
+    return channel.analyse(synthetic_packets(spark, n, 60, 72.0))
+
+
+def synthetic_beats(spark, sf_dir):
+    """Beats with their confidence, and the intervals between them."""
+    found = channel.with_confidence(channel.view(_analysed(spark, sf_dir), "beat"))
+    return channel.intervals(found).select("channel", "sample", "rr_ms", "usable", "pause", "confidence")
+
+
+def synthetic_waves(spark, sf_dir):
+    """Waves and features of the beats, with what can be read of them."""
+    return channel.legible(channel.view(_analysed(spark, sf_dir), "shape"))
 
 
-def spectrum_windows(spark, sf_dir):
-    """Spectrum, concentration and phase density of windows of 32 values, eight on from each other."""
-    names = ["peak_hz", "concentration", "band", "high", "entropy"]
+def synthetic_quality(spark, sf_dir):
+    return channel.view(_analysed(spark, sf_dir), "quality").groupBy("channel", "level").agg(F.count("*").alias("hops"), F.min_by("sample", "score").alias("worst"))
+
+
+WINDOW_FS, WINDOW, HOP = 8.0, 32, 8
+
+
+def vf_window_features(spark, sf_dir):
+    """Fibrillation features and probability of windows of 32 values, eight on from each other, as if there were eight a second."""
+    names = [n for n in fibrillation.FEATURES if n != "amplitude_rel"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, base, key = np.zeros(0), 0, None
@@ -31,17 +49,37 @@ def spectrum_windows(spark, sf_dir):
             for k, rows in pdf.groupby("channel", sort=False):
                 if k != key:
                     held, base, key = np.zeros(0), 0, k
-                held, out = np.r_[held, rows["value"].to_numpy()], []
-                while len(held) >= 32:
-                    x = held[:32]
-                    f = spectrum_features(x, 64.0)
-                    out.append((k, base, *(f[n] for n in names), phase_density(x, 4, 8)))
-                    held, base = held[8:], base + 8
-                if out:
-                    yield pd.DataFrame(out, columns=["channel", "start", *names, "density"])
+                held = np.r_[held, rows["value"].to_numpy()]
+                if len(held) >= WINDOW:
+                    cut = np.lib.stride_tricks.sliding_window_view(held, WINDOW)[::HOP]
+                    f = fibrillation.features(cut, WINDOW_FS)
+                    yield pd.DataFrame({"channel": k, "last": base + WINDOW + HOP * np.arange(len(cut))} | {n: f[n] for n in names})
+                    held, base = held[HOP * len(cut) :], base + HOP * len(cut)
 
     rows = beats(spark, sf_dir).select("channel", "pos", "event_id", "value").repartition("channel").sortWithinPartitions("channel", "pos", "event_id")
-    return rows.select("channel", "value").mapInPandas(each, f"channel long, start long, {', '.join(f'{n} double' for n in names)}, density double")
+    out = rows.select("channel", "value").mapInPandas(each, f"channel long, last long, {', '.join(f'{n} double' for n in names)}")
+    return out.select("channel", "last", *(F.round(n, 5).alias(n) for n in names))
+
+
+VF_WINDOW_FEATURES = f"""WITH {BEATS_SQL}, k AS (SELECT channel, row_number() OVER w AS last, list(value) OVER (PARTITION BY channel ORDER BY pos, event_id ROWS 31 PRECEDING) AS raw FROM beats WINDOW w AS (PARTITION BY channel ORDER BY pos, event_id)),
+x AS (SELECT channel, last, list_transform(raw, lambda v: v - list_sum(raw) / 32) AS x FROM k WHERE last >= 32 AND last % 8 = 0),
+a AS (SELECT *, list_transform(x, lambda v: abs(v)) AS a, list_max(list_transform(x, lambda v: abs(v))) AS peak, list_sum(list_transform(x, lambda v: abs(v))) / 32 AS mean,
+  list_sum(list_transform(x, lambda v: v * v)) / 32 AS m2, list_sum(list_transform(x, lambda v: v * v * v * v)) / 32 AS m4,
+  list_sum(list_transform(generate_series(2, 32), lambda i: abs(x[i] - x[i - 1]))) AS change FROM x),
+h AS (SELECT *, least(greatest(floor(pi() * mean * 32 / change + 0.5), 1), 16)::INT AS h FROM a),
+p AS (SELECT channel, last, b, pow(sum(v * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 31)) * cos(2 * pi() * b * (i - 1) / 32)), 2) + pow(sum(v * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 31)) * sin(2 * pi() * b * (i - 1) / 32)), 2) AS w
+  FROM (SELECT channel, last, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM x), generate_series(2, 16) g(b) GROUP BY ALL),
+f AS (SELECT channel, last, arg_min(b, CASE WHEN b >= 4 THEN (-w, b) ELSE (1, b) END) AS top, sum(w) AS total FROM p GROUP BY ALL),
+s AS (SELECT channel, last, sum(CASE WHEN b BETWEEN greatest(floor(top * 0.5 + 0.5), 2) AND least(floor(top * 1.5 + 0.5), 16) THEN w ELSE 0 END) / any_value(total) AS conc, sum(CASE WHEN b >= 10 THEN w ELSE 0 END) / any_value(total) AS band,
+  sum(CASE WHEN b >= 16 THEN w ELSE 0 END) / any_value(total) AS high, -sum(w / total * ln(w / total)) / ln(15) AS entropy FROM p JOIN f USING (channel, last) GROUP BY ALL),
+e AS (SELECT *, list_transform(generate_series(0, 15), lambda j: greatest(a[2 * j + 1], a[2 * j + 2])) AS tops FROM h)
+SELECT channel, last, round(len(list_filter(generate_series(1, 32), lambda i: a[i] * (CASE i WHEN 2 THEN 0.5 WHEN 31 THEN 0 WHEN 32 THEN 0.5 ELSE 1 END) >= 0.2 * peak)) / 32, 5) AS tcsc,
+  round(list_sum(list_transform(generate_series(h + 1, 32), lambda i: abs(x[i] + x[i - h]))) / list_sum(list_transform(generate_series(h + 1, 32), lambda i: a[i] + a[i - h])), 5) AS leakage,
+  round(peak / mean, 5) AS peak_to_mean, round(m4 / (m2 * m2) - 3, 5) AS kurtosis, round(8 / (2.0::DOUBLE * h), 5) AS dominant_hz,
+  round(len(list_distinct(list_transform(generate_series(1, 28), lambda i: floor(least(greatest(x[i] * 19.5::DOUBLE / peak + 19.5::DOUBLE, 0), 39)) * 40 + floor(least(greatest(x[i + 4] * 19.5::DOUBLE / peak + 19.5::DOUBLE, 0), 39))))) / 1600, 5) AS psr_density,
+  round(conc, 5) AS spec_conc, round(band, 5) AS vf_band_frac, round(high, 5) AS hf_frac, round(entropy, 5) AS spec_entropy,
+  round(sqrt(greatest(list_sum(list_transform(tops, lambda t: t * t)) / 16 - pow(list_sum(tops) / 16, 2), 0)) / (list_sum(tops) / 16), 5) AS env_cv
+FROM e JOIN s USING (channel, last)"""
 
 
 def shape_groups(spark, sf_dir):
@@ -55,7 +93,7 @@ def shape_groups(spark, sf_dir):
                 x = np.stack(rows["embedding"].to_numpy()).astype(float)
                 x = x - x.mean(axis=1, keepdims=True)
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                yield pd.DataFrame({"vec_id": rows["vec_id"], "label": k, "shape": [leader.add(v) for v in x]})
+                yield pd.DataFrame({"vec_id": rows["vec_id"], "label": k, "shape": [leader.add(v)[0] for v in x]})
 
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label IS NOT NULL AND embedding IS NOT NULL")
     return e.select("vec_id", "label", "embedding").repartition("label").sortWithinPartitions("label", "vec_id").mapInPandas(each, "vec_id long, label int, shape int")
@@ -76,8 +114,13 @@ def fitted_weights(spark, sf_dir):
 
 
 def feature_probes(spark, sf_dir):
-    return fitting.feature_aucs(_lines(spark, sf_dir), ["q", "d", "p"], F.col("y") == 1)
+    """How well each feature tells returned lines from others by itself."""
+    return fitting.feature_aucs(_lines(spark, sf_dir), ["q", "d", "p"], F.col("y") == 1).select("feature", F.round("auc", 6).alias("auc"), "n")
+
 
+_PROBED = "SELECT 'q' AS feature, l_quantity::DOUBLE AS v, l_returnflag = 'R' AS y FROM lineitem UNION ALL SELECT 'd', l_discount::DOUBLE, l_returnflag = 'R' FROM lineitem UNION ALL SELECT 'p', l_extendedprice::DOUBLE / 1e5, l_returnflag = 'R' FROM lineitem"
+FEATURE_PROBES = f"""WITH l AS ({_PROBED}), r AS (SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2 AS r FROM l)
+SELECT feature, round((sum(r) FILTER (y) - count_if(y) * (count_if(y) + 1) / 2) / (count_if(y) * count_if(NOT y)), 6) AS auc, count(*) AS n FROM r GROUP BY feature"""
 
-QUERIES = {f.__name__: f for f in (synthetic_beats, spectrum_windows, shape_groups, fitted_weights, feature_probes)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (synthetic_beats, synthetic_waves, synthetic_quality, vf_window_features, shape_groups, fitted_weights, feature_probes)}
+ORACLE_SQL: dict[str, str] = {"vf_window_features": VF_WINDOW_FEATURES, "feature_probes": FEATURE_PROBES}

@@ -42,7 +42,7 @@ SELECT *, round(tp / nullif(tp + fn, 0), 6) AS se, round(tn / nullif(tn + fp, 0)
 
 
 def auc_by_language(spark, sf_dir):
-    out = metrics.rank_auc(_scored(spark, sf_dir).withColumn("good", F.col("quality") == 1), "p", "good", "lang")
+    out = metrics.rank_auc(_scored(spark, sf_dir).withColumn("good", F.col("quality") == 1), "p", "good", "lang", digits=6)
     return out.select("lang", F.round("auc", 6).alias("auc"), "n")
 
 
