@@ -15,7 +15,7 @@ from ..operators import rhythm
 SHORT, LONG = 0.5, 72.0
 PAUSE, ASYSTOLE = 24.0, 36.0
 SLOW, FAST = 2.5, 9.0  # events a day, over the last eight
-ENTER, LEAVE = 0.6, 0.5
+ENTER, LEAVE = 0.92, 0.72
 
 
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,68 +151,66 @@ ALTERNATION = f"""WITH {BEATS_SQL}
 SELECT channel, event_id, 'bigeminy' AS kind FROM ({_alternation_sql(2, 2)}) WHERE h
 UNION ALL SELECT channel, event_id, 'trigeminy' FROM ({_alternation_sql(3, 2)}) WHERE h"""
 
-FEATURES = ("median", "rmssd", "mad", "pnn", "sd1", "sd2", "turning", "within", "iqr", "entropy")
+FEATURES = ("median", "rmssd", "mad", "rmssd_over_mad", "pnn", "entropy", "entropy_d", "cosen", "turning", "sd1", "sd2", "sd1_sd2", "acf1", "acf1_d", "within", "iqr", "coherence")
 
 
 def _irregular(spark, sf_dir):
-    return rhythm.irregularity(rhythm.rr_window(_rr(spark, sf_dir), 20, 720.0))
+    """Windows of 20 usable intervals; the event's value, where it is over 100, stands for the atrial coherence."""
+    heard = beats(spark, sf_dir).select("event_id", F.when(F.col("value") > 100, F.col("value") / 500).otherwise(0.0).alias("coherence"))
+    return rhythm.irregularity(rhythm.rr_window(_rr(spark, sf_dir).join(heard, "event_id"), 20, 720.0), 0.5)
 
 
 def rr_irregularity(spark, sf_dir):
     return _irregular(spark, sf_dir).select("channel", "event_id", *(F.round(f, 6).alias(f) for f in FEATURES))
 
 
+def _entropy_sql(x: str, n: str) -> str:
+    """Of the list column ``x`` of ``n`` values, by a sub-select over its elements."""
+    return f"""CASE WHEN {n} < 4 THEN 0 WHEN list_sort({x})[{n} - greatest({n} // 16, 1)] <= list_sort({x})[greatest({n} // 16, 1) + 1] THEN 0 ELSE
+      (SELECT -sum(c / {n} * ln(c / {n})) / ln(16) FROM (SELECT count(*)::DOUBLE AS c FROM (SELECT unnest({x}) AS v) GROUP BY least(greatest(floor((v - list_sort({x})[greatest({n} // 16, 1) + 1])
+        / ((list_sort({x})[{n} - greatest({n} // 16, 1)] - list_sort({x})[greatest({n} // 16, 1) + 1]) / 16)), 0), 15))) END"""
+
+
+def _acf_sql(x: str, n: str) -> str:
+    m = f"list_sum({x}) / {n}"
+    den = f"list_sum(list_transform({x}, lambda v: pow(v - {m}, 2)))"
+    return f"CASE WHEN {den} > 1e-9 THEN list_sum(list_transform(generate_series(1, {n} - 1), lambda i: ({x}[i] - {m}) * ({x}[i + 1] - {m}))) / {den} ELSE 0 END"
+
+
 IRREGULAR_SQL = f"""{RR_SQL}, usable AS (
-  SELECT channel, event_id, pos, rr, before, coalesce(lag(pos) OVER (PARTITION BY channel ORDER BY pos, event_id) = before, false) AS adjacent FROM rr WHERE usable),
+  SELECT channel, event_id, pos, rr, before, coalesce(lag(pos) OVER (PARTITION BY channel ORDER BY pos, event_id) = before, false) AS adjacent, CASE WHEN value > 100 THEN value / 500 ELSE 0 END AS coh FROM rr WHERE usable),
 windows AS (
-  SELECT * FROM (SELECT channel, event_id, pos, list(rr) OVER w AS x, list(adjacent) OVER w AS a, first(before) OVER w AS f FROM usable
+  SELECT * FROM (SELECT channel, event_id, pos, list(rr) OVER w AS x, list(adjacent) OVER w AS a, list(coh) OVER w AS c, first(before) OVER w AS f FROM usable
     WINDOW w AS (PARTITION BY channel ORDER BY pos, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
   WHERE len(x) = 20 AND pos - f <= 720.0),
 pairs AS (
-  SELECT *, list_sort(x) AS s, list_sort(x)[11] AS median,
+  SELECT *, list_sort(x) AS s, list_sort(x)[11] AS median, greatest(0.5, 0.05 * list_sort(x)[11]) AS r, list_sort(list_filter(c, lambda v: v != 0)) AS heard,
     list_transform(list_filter(generate_series(2, 20), lambda i: a[i]), lambda i: x[i] - x[i - 1]) AS d FROM windows),
-placed AS (
-  SELECT *, list_transform(s, lambda v: least(greatest(floor((v - s[2]) / (s[19] - s[2]) * 16), 0), 15)) AS place FROM pairs),
+counted AS (SELECT *, len(d) AS m,
+  list_sum(list_transform(generate_series(1, 19), lambda i: len(list_filter(generate_series(1, 19), lambda j: j != i AND abs(x[i] - x[j]) <= r)))) AS b,
+  list_sum(list_transform(generate_series(1, 19), lambda i: len(list_filter(generate_series(1, 19), lambda j: j != i AND abs(x[i] - x[j]) <= r AND abs(x[i + 1] - x[j + 1]) <= r)))) AS k
+  FROM pairs),
+raw AS (
+  SELECT *, sqrt(list_sum(list_transform(d, lambda v: v * v)) / m) AS root, list_sort(list_transform(d, lambda v: abs(v)))[m // 2 + 1] AS dev,
+    len(list_filter(d, lambda v: abs(v) > 0.05 * median)) / m AS pn, list_sum(list_transform(d, lambda v: v * v)) / m - pow(list_sum(d) / m, 2) AS vd, list_sum(list_transform(x, lambda v: v * v)) / 20 - pow(list_sum(x) / 20, 2) AS vx,
+    len(list_filter(generate_series(2, m), lambda i: (d[i] > 0) != (d[i - 1] > 0))) / (m - 1) AS tp, len(list_filter(x, lambda v: abs(v - median) <= 0.05 * median)) / 20 AS wi, (s[16] - s[6]) / median AS iq,
+    {_entropy_sql("x", "20")} AS ex, {_entropy_sql("d", "m")} AS ed, {_acf_sql("x", "20")} AS cx, {_acf_sql("d", "m")} AS cd,
+    CASE WHEN b = 0 THEN ln(19) WHEN k = 0 THEN ln(b * 19) ELSE -ln(k / b) END + ln(2 * r) - ln(median) AS cs, CASE WHEN len(heard) = 0 THEN 0 ELSE heard[len(heard) // 2 + 1] END AS coherence
+  FROM counted),
 irregular AS (
-  SELECT *,
-    CASE WHEN len(d) > 0 THEN sqrt(list_sum(list_transform(d, lambda v: v * v)) / len(d)) / median ELSE 0 END AS rmssd,
-    list_sort(list_transform(x, lambda v: abs(v - median)))[11] / median AS mad,
-    CASE WHEN len(d) > 0 THEN len(list_filter(d, lambda v: abs(v) > 0.05 * median)) / len(d) ELSE 0 END AS pnn,
-    CASE WHEN len(d) > 0 THEN list_sum(list_transform(d, lambda v: v * v)) / len(d) - pow(list_sum(d) / len(d), 2) ELSE 0 END AS vd,
-    list_sum(list_transform(x, lambda v: v * v)) / 20 - pow(list_sum(x) / 20, 2) AS vx,
-    CASE WHEN len(d) > 1 THEN len(list_filter(generate_series(2, len(d)), lambda i: d[i] * d[i - 1] < 0)) / (len(d) - 1) ELSE 0 END AS turning,
-    len(list_filter(x, lambda v: abs(v - median) <= 0.05 * median)) / 20 AS within,
-    (s[16] - s[6]) / median AS iqr,
-    CASE WHEN s[19] > s[2] THEN list_sum(list_transform(generate_series(0, 15), lambda b:
-      CASE WHEN len(list_filter(place, lambda p: p = b)) > 0 THEN -(len(list_filter(place, lambda p: p = b)) / 20) * ln(len(list_filter(place, lambda p: p = b)) / 20) ELSE 0 END)) / ln(16) ELSE 0 END AS entropy
-  FROM placed)"""
-RR_IRREGULARITY = f"""WITH {IRREGULAR_SQL}
-SELECT channel, event_id, round(median, 6) AS median, round(rmssd, 6) AS rmssd, round(mad, 6) AS mad, round(pnn, 6) AS pnn,
-  round(sqrt(greatest(vd / 2, 0)) / median, 6) AS sd1, round(sqrt(greatest(2 * vx - vd / 2, 0)) / median, 6) AS sd2,
-  round(turning, 6) AS turning, round(within, 6) AS within, round(iqr, 6) AS iqr, round(entropy, 6) AS entropy FROM irregular"""
-
-
-def rr_sample_entropy(spark, sf_dir):
-    made = rhythm.rr_window(_rr(spark, sf_dir), 20, 720.0).where("items IS NOT NULL").withColumn("x", F.transform("items", lambda i: i["rr"]))
-    return made.select("channel", "event_id", F.round(rhythm.sample_entropy(F.col("x"), 0.5), 6).alias("cosen"))
-
-
-RR_SAMPLE_ENTROPY = f"""WITH {IRREGULAR_SQL}, radius AS (SELECT *, greatest(0.5, 0.05 * median) AS r FROM pairs),
-counted AS (SELECT *,
-  list_sum(list_transform(generate_series(1, 19), lambda i: len(list_filter(generate_series(1, 19), lambda j: j > i AND abs(x[i] - x[j]) <= r)))) AS b,
-  list_sum(list_transform(generate_series(1, 19), lambda i: len(list_filter(generate_series(1, 19), lambda j: j > i AND abs(x[i] - x[j]) <= r AND abs(x[i + 1] - x[j + 1]) <= r)))) AS m
-  FROM radius)
-SELECT channel, event_id, round(-ln(greatest(m, 0.5) / greatest(b, 1.0)) + ln(2 * r) - ln(median), 6) AS cosen FROM counted"""
+  SELECT channel, event_id, pos, median, coherence, {", ".join(f"CASE WHEN m < 4 THEN 0 ELSE {v} END AS {k}" for k, v in (
+    ("rmssd", "root / median"), ("mad", "dev / median"), ("rmssd_over_mad", "root / greatest(dev, 0.001)"), ("pnn", "pn"), ("entropy", "ex"), ("entropy_d", "ed"), ("cosen", "cs"), ("turning", "tp"),
+    ("sd1", "sqrt(greatest(vd / 2, 0)) / median"), ("sd2", "sqrt(greatest(2 * vx - vd / 2, 0)) / median"), ("sd1_sd2", "sqrt(greatest(vd / 2, 0)) / greatest(sqrt(greatest(2 * vx - vd / 2, 0)), 0.001)"),
+    ("acf1", "cx"), ("acf1_d", "cd"), ("within", "wi"), ("iqr", "iq")))} FROM raw)"""
+RR_IRREGULARITY = f"WITH {IRREGULAR_SQL} SELECT channel, event_id, {', '.join(f'round({f}, 6) AS {f}' for f in FEATURES)} FROM irregular"
 
 
 def _af(spark, sf_dir):
-    x = {f: F.col(f) for f in FEATURES}
-    z = -2.0 + 1.5 * x["rmssd"] + 2.0 * x["mad"] - 1.0 * x["within"] + 1.2 * x["entropy"] - 0.8 * x["turning"]
-    scored = _irregular(spark, sf_dir).withColumn("p", 1 / (1 + F.exp(-z)))
-    return rhythm.hysteresis(scored, "p", ENTER, LEAVE)
+    return rhythm.hysteresis(_irregular(spark, sf_dir).withColumn("p", rhythm.af_probability()), "p", ENTER, LEAVE)
 
 
-AF_SQL = f"""{IRREGULAR_SQL}, scored AS (SELECT *, 1 / (1 + exp(-(-2.0 + 1.5 * rmssd + 2.0 * mad - 1.0 * within + 1.2 * entropy - 0.8 * turning))) AS p FROM irregular),
+_Z = " + ".join([f"{rhythm.AF_WEIGHTS[0]}::DOUBLE", *(f"{w}::DOUBLE * {t}" for w, t in zip(rhythm.AF_WEIGHTS[1:], rhythm.AF_TERMS, strict=True))])
+AF_SQL = f"""{IRREGULAR_SQL}, scored AS (SELECT *, 1 / (1 + exp(-({_Z}))) AS p FROM irregular),
 af AS (SELECT *, coalesce(last_value(CASE WHEN p >= {ENTER} THEN true WHEN p < {LEAVE} THEN false END IGNORE NULLS)
   OVER (PARTITION BY channel ORDER BY pos, event_id ROWS UNBOUNDED PRECEDING), false) AS state FROM scored)"""
 
@@ -289,27 +287,11 @@ SELECT channel, round(min(pos), 6) AS start, count(*) AS n, round(avg(rr), 6) AS
   round(stddev_samp(rr) / avg(rr), 6) AS cv, round(regr_slope(rr, k::DOUBLE), 6) AS trend FROM i GROUP BY channel, island HAVING count(*) >= 3"""
 
 
-def rr_coherence(spark, sf_dir):
-    """Lag-one autocorrelation of the last ten intervals, as one grouped frame."""
-    w = rhythm.rows_back(10)
-    rr = _rr(spark, sf_dir).withColumn("prev", F.lag("rr").over(rhythm.by_channel())).where("prev IS NOT NULL")
-    n = F.count("*").over(w)
-    cov = F.avg(F.col("rr") * F.col("prev")).over(w) - F.avg("rr").over(w) * F.avg("prev").over(w)
-    var = lambda c: F.greatest(F.avg(F.col(c) * F.col(c)).over(w) - F.avg(c).over(w) * F.avg(c).over(w), F.lit(1e-9))
-    return rr.withColumn("n", n).withColumn("acf1", cov / F.sqrt(var("rr") * var("prev"))).where("n = 10").select("channel", "event_id", F.round("acf1", 5).alias("acf1"))
-
-
-RR_COHERENCE = f"""WITH {RR_SQL}, p AS (SELECT * FROM (SELECT *, lag(rr) OVER (PARTITION BY channel ORDER BY pos, event_id) AS prev FROM rr) WHERE prev IS NOT NULL),
-c AS (SELECT channel, event_id, count(*) OVER w AS n, avg(rr * prev) OVER w - avg(rr) OVER w * avg(prev) OVER w AS cov,
-  greatest(avg(rr * rr) OVER w - avg(rr) OVER w * avg(rr) OVER w, 1e-9) AS vr, greatest(avg(prev * prev) OVER w - avg(prev) OVER w * avg(prev) OVER w, 1e-9) AS vp
-  FROM p WINDOW w AS (PARTITION BY channel ORDER BY pos, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
-SELECT channel, event_id, round(cov / sqrt(vr * vp), 5) AS acf1 FROM c WHERE n = 10"""
-
 _ALL = (
     (rr_intervals, RR_INTERVALS), (pauses, PAUSES), (rate_conditions, RATE_CONDITIONS), (rhythm_episodes, RHYTHM_EPISODES), (ventricular_runs, VENTRICULAR_RUNS),
     (ventricular_tachycardia, VENTRICULAR_TACHYCARDIA), (idioventricular, IDIOVENTRICULAR), (alternation, ALTERNATION), (rr_irregularity, RR_IRREGULARITY),
-    (rr_sample_entropy, RR_SAMPLE_ENTROPY), (af_state, AF_STATE), (af_sustained, AF_SUSTAINED), (af_fragmentation, AF_FRAGMENTATION), (sv_run_onsets, SV_RUN_ONSETS),
-    (sv_run_features, SV_RUN_FEATURES), (rr_coherence, RR_COHERENCE),
+    (af_state, AF_STATE), (af_sustained, AF_SUSTAINED), (af_fragmentation, AF_FRAGMENTATION), (sv_run_onsets, SV_RUN_ONSETS),
+    (sv_run_features, SV_RUN_FEATURES),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLE_SQL = {f.__name__: sql for f, sql in _ALL}
