@@ -7,8 +7,15 @@ a whole chain of these operators.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import irregular
 
 CHANNEL, ORDER = "channel", "pos"
 
@@ -138,92 +145,27 @@ def variance(values: Column) -> Column:
     return mean(F.transform(values, lambda x: x * x)) - m * m
 
 
-def differences(items: Column) -> Column:
-    """rr minus the rr before it, over adjacent pairs only."""
-    pairs = F.zip_with(F.slice(items, 2, F.size(items) - 1), F.slice(items, 1, F.size(items) - 1), lambda b, a: F.struct((b["rr"] - a["rr"]).alias("d"), b["adjacent"].alias("ok")))
-    return F.transform(F.filter(pairs, lambda p: p["ok"]), lambda p: p["d"])
-
-
-# Published weights, bias first, of the terms that af_probability() reads.
-AF_WEIGHTS = (-2.657532, 1.190974, -4.394903, 0.000017, 2.748223, 5.528393, 0.982912, 0.586405, -0.000006, -0.047553, -2.426139, 0.450888, -1.427805)
-AF_TERMS = ("rmssd", "mad", "rmssd_over_mad", "pnn", "entropy_d", "cosen", "turning", "sd1_sd2", "acf1_d", "within", "acf1", "coherence")
-
-
-def autocorrelation(off: Column) -> Column:
-    """At lag one, of values with their mean taken off; 0 of what does not vary."""
-    n = F.size(off)
-    top = total(F.zip_with(F.slice(off, 1, n - 1), F.slice(off, 2, n - 1), lambda x, y: x * y))
-    den = total(F.transform(off, lambda v: v * v))
-    return F.when(den > 1e-9, top / den).otherwise(0.0)
-
-
-def irregularity(windows: DataFrame, floor: float, tiny: float = 1e-3) -> DataFrame:
-    """Features of each full window; under four differences all but the rate and coherence are 0.
+def irregularity(windows: DataFrame, floor: float, *carry: str) -> DataFrame:
+    """``carry`` columns, the features of each full window and the published model's probability ``p``.
 
-    ``floor`` is the least radius of the sample entropy, in units of the
-    intervals, and ``tiny`` what is left of a spread of 0 as a divisor.
+    Many small arrays are one matrix in Python and a loop for each row in the
+    JVM, so this is an Arrow map; it needs no exchange of its own.
     """
-    out = windows.where("items IS NOT NULL").withColumn("x", F.transform("items", lambda i: i["rr"])).withColumn("d", differences(F.col("items")))
-    out = out.withColumn("median", upper_median(F.col("x"))).withColumn("m", F.size("d")).withColumn("sorted", F.sort_array("x"))
-    x, d, med, m, q = F.col("x"), F.col("d"), F.col("median"), F.col("m"), F.size("x")
-    # what is read more than once, or for each element, stays a column and is made once a row
-    out = out.select("*", mean(x).alias("mean_x"), mean(d).alias("mean_d"), F.sort_array("d").alias("sorted_d"), F.greatest(F.floor(m / 16).cast("int"), F.lit(1)).alias("cut_d"))
-    out = out.select(
-        "*", F.sqrt(mean(F.transform(d, lambda v: v * v))).alias("root"), upper_median(F.transform(d, lambda v: F.abs(v))).alias("dev"),
-        F.transform(x, lambda v: v - F.col("mean_x")).alias("off_x"), F.transform(d, lambda v: v - F.col("mean_d")).alias("off_d"),
-        F.get("sorted", F.greatest(F.floor(q / 16).cast("int"), F.lit(1))).alias("lo"), F.get("sorted", q - 1 - F.greatest(F.floor(q / 16).cast("int"), F.lit(1))).alias("hi"),
-        F.get("sorted_d", F.col("cut_d")).alias("lo_d"), F.get("sorted_d", m - 1 - F.col("cut_d")).alias("hi_d"), F.greatest(F.lit(floor), 0.05 * med).alias("radius"),
-    )
-    out = out.select(
-        "*", mean(F.transform("off_x", lambda v: v * v)).alias("var_x"), mean(F.transform("off_d", lambda v: v * v)).alias("var_d"),
-        bin_of(x, F.col("lo"), F.col("hi")).alias("place"), bin_of(d, F.col("lo_d"), F.col("hi_d")).alias("place_d"),
-    )
-    turns = total(F.zip_with(F.slice(d, 2, F.greatest(m - 1, F.lit(0))), F.slice(d, 1, F.greatest(m - 1, F.lit(0))), lambda b, a: F.when((a > 0) != (b > 0), 1.0).otherwise(0.0)))
-    out = out.withColumn("axis1", F.sqrt(F.greatest(F.col("var_d") / 2, F.lit(0.0)))).withColumn("axis2", F.sqrt(F.greatest(2 * F.col("var_x") - F.col("var_d") / 2, F.lit(0.0))))
-    spread = lambda lo, hi, place: F.when(F.col(hi) > F.col(lo), shannon(F.col(place))).otherwise(0.0)
-    made = {
-        "rmssd": F.col("root") / med, "mad": F.col("dev") / med, "rmssd_over_mad": F.col("root") / F.greatest("dev", F.lit(tiny)), "pnn": F.size(F.filter(d, lambda v: F.abs(v) > 0.05 * med)) / m,
-        "entropy": spread("lo", "hi", "place"), "entropy_d": spread("lo_d", "hi_d", "place_d"), "cosen": sample_entropy(x, med, F.col("radius")), "turning": F.when(m > 1, turns / (m - 1)).otherwise(0.0),
-        "sd1": F.col("axis1") / med, "sd2": F.col("axis2") / med, "sd1_sd2": F.col("axis1") / F.greatest("axis2", F.lit(tiny)), "acf1": autocorrelation(F.col("off_x")), "acf1_d": autocorrelation(F.col("off_d")),
-        "within": F.size(F.filter(x, lambda v: F.abs(v - med) <= 0.05 * med)) / q, "iqr": (F.get("sorted", F.floor(3 * q / 4).cast("int")) - F.get("sorted", F.floor(q / 4).cast("int"))) / med,
-    }
-    out = out.select("*", *(F.when(m < 4, 0.0).otherwise(v).alias(k) for k, v in made.items()))
-    if "coherence" in windows.schema["items"].dataType.elementType.fieldNames():
-        heard = F.filter(F.transform("items", lambda i: i["coherence"]), lambda c: c != 0)
-        return out.withColumn("coherence", F.when(F.size(heard) > 0, upper_median(heard)).otherwise(0.0))
-    return out.withColumn("coherence", F.lit(0.0))
-
-
-def af_probability() -> Column:
-    """Logistic model over the features of irregularity(), with the published weights."""
-    z = sum((F.lit(w) * F.col(t) for w, t in zip(AF_WEIGHTS[1:], AF_TERMS, strict=True)), F.lit(AF_WEIGHTS[0]))
-    return 1 / (1 + F.exp(-z))
-
-
-def bin_of(values: Column, lo: Column, hi: Column, bins: int = 16) -> Column:
-    """The bin, of ``bins`` between ``lo`` and ``hi``, of each value; what lies outside goes to the ends."""
-    return F.transform(values, lambda v: F.least(F.greatest(F.floor((v - lo) / (hi - lo) * bins), F.lit(0)), F.lit(bins - 1)).cast("int"))
-
-
-def shannon(place: Column, bins: int = 16) -> Column:
-    """Entropy of the shares of each bin in the column ``place``, over its largest value."""
-    shares = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(place, lambda p: p == b)) / F.size(place))
-    h = F.aggregate(shares, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log(p)).otherwise(0.0))
-    return h / F.log(F.lit(float(bins)))
-
-
-def sample_entropy(values: Column, med: Column, radius: Column) -> Column:
-    """Coefficient of sample entropy, m = 1: pairs close now that stay close next, with the radius and median taken off."""
-    n = F.size(values)
-    pairs = F.zip_with(F.slice(values, 1, n - 1), F.slice(values, 2, n - 1), lambda now, then: F.struct(now.alias("a"), then.alias("b")))
-    # an element's match with itself is counted and taken off; pairs count both ways round
-    near = lambda x, y: F.abs(x["a"] - y["a"]) <= radius
-    hits = F.aggregate(
-        pairs, F.struct(F.lit(0).alias("b"), F.lit(0).alias("k")),
-        lambda acc, x: F.aggregate(pairs, acc, lambda c, y: F.struct((c["b"] + near(x, y).cast("int")).alias("b"), (c["k"] + (near(x, y) & (F.abs(x["b"] - y["b"]) <= radius)).cast("int")).alias("k"))),
-    )
-    out = F.transform(F.array(hits), lambda h: F.struct((h["b"] - n + 1).cast("double").alias("b"), (h["k"] - n + 1).cast("double").alias("k")))
-    # without any close pair the largest value that could be is taken
-    none = F.log((n - 1).cast("double"))
-    sampen = F.transform(out, lambda h: F.when(h["b"] == 0, none).when(h["k"] == 0, F.log(h["b"]) + none).otherwise(-F.log(h["k"] / h["b"])))
-    return F.get(sampen, F.lit(0)) + F.log(2 * radius) - F.log(med)
+    names = (*irregular.FEATURES, "p")
+    full = windows.where("items IS NOT NULL").select(*carry, "items")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column("items")
+            values, rows = items.flatten(), max(batch.num_rows, 1)
+            cut = lambda k, values=values, rows=rows: values.field(k).to_numpy(zero_copy_only=False).reshape(rows, -1)
+            if not batch.num_rows:
+                continue
+            x = cut("rr")
+            heard = cut("coherence") if "coherence" in {f.name for f in values.type} else np.zeros_like(x)
+            f = irregular.features(x, cut("adjacent"), heard, floor)
+            f["p"] = irregular.probability(f)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(f[n].astype(float)) for n in names)], names=[*carry, *names])
+
+    schema = T.StructType([*(full.schema[c] for c in carry), *(T.StructField(n, T.DoubleType()) for n in names)])
+    return full.mapInArrow(each, schema)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import irregular
 from ..operators import rhythm
 
 SHORT, LONG = 0.5, 72.0
@@ -151,13 +152,13 @@ ALTERNATION = f"""WITH {BEATS_SQL}
 SELECT channel, event_id, 'bigeminy' AS kind FROM ({_alternation_sql(2, 2)}) WHERE h
 UNION ALL SELECT channel, event_id, 'trigeminy' FROM ({_alternation_sql(3, 2)}) WHERE h"""
 
-FEATURES = ("median", "rmssd", "mad", "rmssd_over_mad", "pnn", "entropy", "entropy_d", "cosen", "turning", "sd1", "sd2", "sd1_sd2", "acf1", "acf1_d", "within", "iqr", "coherence")
+FEATURES = irregular.FEATURES
 
 
 def _irregular(spark, sf_dir):
     """Windows of 20 usable intervals; the event's value, where it is over 100, stands for the atrial coherence."""
-    heard = beats(spark, sf_dir).select("event_id", F.when(F.col("value") > 100, F.col("value") / 500).otherwise(0.0).alias("coherence"))
-    return rhythm.irregularity(rhythm.rr_window(_rr(spark, sf_dir).join(heard, "event_id"), 20, 720.0), 0.5)
+    rr = _rr(spark, sf_dir).withColumn("coherence", F.when(F.col("value") > 100, F.col("value") / 500).otherwise(0.0))
+    return rhythm.irregularity(rhythm.rr_window(rr, 20, 720.0), 0.5, "channel", "event_id", "pos")
 
 
 def rr_irregularity(spark, sf_dir):
@@ -206,10 +207,10 @@ RR_IRREGULARITY = f"WITH {IRREGULAR_SQL} SELECT channel, event_id, {', '.join(f'
 
 
 def _af(spark, sf_dir):
-    return rhythm.hysteresis(_irregular(spark, sf_dir).withColumn("p", rhythm.af_probability()), "p", ENTER, LEAVE)
+    return rhythm.hysteresis(_irregular(spark, sf_dir), "p", ENTER, LEAVE)
 
 
-_Z = " + ".join([f"{rhythm.AF_WEIGHTS[0]}::DOUBLE", *(f"{w}::DOUBLE * {t}" for w, t in zip(rhythm.AF_WEIGHTS[1:], rhythm.AF_TERMS, strict=True))])
+_Z = " + ".join([f"{irregular.WEIGHTS[0]}::DOUBLE", *(f"{w}::DOUBLE * {t}" for w, t in zip(irregular.WEIGHTS[1:], irregular.TERMS, strict=True))])
 AF_SQL = f"""{IRREGULAR_SQL}, scored AS (SELECT *, 1 / (1 + exp(-({_Z}))) AS p FROM irregular),
 af AS (SELECT *, coalesce(last_value(CASE WHEN p >= {ENTER} THEN true WHEN p < {LEAVE} THEN false END IGNORE NULLS)
   OVER (PARTITION BY channel ORDER BY pos, event_id ROWS UNBOUNDED PRECEDING), false) AS state FROM scored)"""
