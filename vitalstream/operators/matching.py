@@ -29,11 +29,11 @@ def mutual_nearest(pairs: DataFrame, key: str = "channel") -> DataFrame:
     return pairs.withColumn("a", F.row_number().over(a)).withColumn("b", F.row_number().over(b)).where("a = 1 AND b = 1").drop("a", "b")
 
 
-def greedy_match(reference: DataFrame, detected: DataFrame, tolerance: float, key: str = "channel") -> DataFrame:
+def greedy_match(reference: DataFrame, detected: DataFrame, tolerance: float, key: str = "channel", yields: bool = True) -> DataFrame:
     """One-to-one matches in time order, (key, l_id, r_id, offset); an unmatched side has a null id.
 
-    Two pointers walk both sides; a detection yields to the next one if that is
-    strictly closer. One channel is one group, as the walk is sequential.
+    Two pointers walk both sides; with ``yields`` a detection gives way to the
+    next one if that is strictly closer. One channel is one group, as the walk is sequential.
     """
 
     def walk(k, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -42,7 +42,7 @@ def greedy_match(reference: DataFrame, detected: DataFrame, tolerance: float, ke
         while i < len(ra) and j < len(rb):
             gap = rb[j][0] - ra[i][0]
             if abs(gap) <= tolerance:
-                if j + 1 < len(rb) and abs(rb[j + 1][0] - ra[i][0]) < abs(gap):
+                if yields and j + 1 < len(rb) and abs(rb[j + 1][0] - ra[i][0]) < abs(gap):
                     out.append((None, rb[j][1], None))
                     j += 1
                     continue
@@ -107,5 +107,5 @@ def redirects(merges: DataFrame, rounds: int = 40) -> DataFrame:
         step = step.checkpoint() if step.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else step
         now = step.select("source", "target")
         if step.where("moved").isEmpty():
-            break
-    return now
+            return now
+    raise ValueError(f"chains of over 2^{rounds} merges, or merges in a circle")

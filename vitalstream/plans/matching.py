@@ -55,10 +55,6 @@ SELECT channel, tp, r - tp AS fn, d - tp AS fp, round(CASE WHEN r > 0 THEN tp /
   round(CASE WHEN r + d > 0 THEN 2 * tp / (r + d) ELSE 0.0 END, 6) AS f1, round(CASE WHEN r > 0 THEN (r + d - 2 * tp) / r ELSE 0.0 END, 6) AS der FROM s"""
 
 
-def greedy_match(spark, sf_dir):
-    return matching.greedy_match(_of(spark, sf_dir, "click"), _of(spark, sf_dir, "view"), TOL)
-
-
 def nearest_reference(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -192,7 +188,7 @@ MERGE_REDIRECTS = """WITH RECURSIVE m AS (SELECT p_partkey AS source, p_partkey
 SELECT source, min(target) AS target FROM m GROUP BY source"""
 
 _ALL = (
-    (tolerance_pairs, TOLERANCE_PAIRS), (tolerance_match, TOLERANCE_MATCH), (detection_score, DETECTION_SCORE), (greedy_match, None), (nearest_reference, NEAREST_REFERENCE),
+    (tolerance_pairs, TOLERANCE_PAIRS), (tolerance_match, TOLERANCE_MATCH), (detection_score, DETECTION_SCORE), (nearest_reference, NEAREST_REFERENCE),
     (tolerance_semi, TOLERANCE_SEMI), (last_value_lookup, LAST_VALUE_LOOKUP), (point_in_interval, POINT_IN_INTERVAL), (interval_overlap, INTERVAL_OVERLAP),
     (spans_from_marks, SPANS_FROM_MARKS), (bracket_pairs, BRACKET_PAIRS), (alarm_windows, ALARM_WINDOWS), (onset_dedup, ONSET_DEDUP), (metadata_join, METADATA_JOIN), (merge_redirects, MERGE_REDIRECTS),
 )

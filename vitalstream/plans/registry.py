@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import kernel, matching, metrics, rhythm, runtime, signal
+from . import kernel, matching, metrics, reports, rhythm, runtime, signal, truth
 
-_MODULES = (rhythm, signal, matching, metrics, runtime, kernel)
+_MODULES = (rhythm, signal, matching, metrics, runtime, kernel, truth, reports)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

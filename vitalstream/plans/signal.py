@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import CLINICAL
 from ..operators import signal
 from ..operators.rhythm import by_channel, rows_back
 from .rhythm import BEATS_SQL, beats
@@ -24,48 +25,72 @@ FROM beats WINDOW w AS ({W}), r AS ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW
 
 
 def exponential_mean(spark, sf_dir):
-    return signal.ewma(beats(spark, sf_dir), "value", 0.2, 32).select("channel", "event_id", F.round("ewma", 6).alias("ewma"))
+    rows = beats(spark, sf_dir).select("channel", "pos", "event_id", "value")
+    return signal.ewma(rows, "value", 0.2).select("channel", "event_id", F.round("ewma", 6).alias("ewma"))
 
 
-EXPONENTIAL_MEAN = f"""WITH {BEATS_SQL}, p AS (SELECT channel, event_id, list(value) OVER ({W} ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS x FROM beats)
+EXPONENTIAL_MEAN = f"""WITH {BEATS_SQL}, p AS (SELECT channel, event_id, list(value) OVER ({W} ROWS UNBOUNDED PRECEDING) AS x FROM beats)
 SELECT channel, event_id, round(list_reduce(x, lambda m, v: m + 0.2::DOUBLE * (v - m)), 6) AS ewma FROM p"""
 
-_MOMENTS = f"""{BEATS_SQL}, raw AS (
-  SELECT *, count(*) OVER r AS held, avg(value) OVER r AS m1, avg(pow(value, 2)) OVER r AS m2, avg(pow(value, 3)) OVER r AS m3, avg(pow(value, 4)) OVER r AS m4, max(value) OVER r - min(value) OVER r AS "range"
-  FROM beats WINDOW r AS ({W} ROWS BETWEEN {N - 1} PRECEDING AND CURRENT ROW)),
-moments AS (
-  SELECT *, CASE WHEN var <= 1e-12 THEN 0 ELSE (m3 - 3 * m1 * m2 + 2 * pow(m1, 3)) / pow(var, 1.5) END AS skew,
-    CASE WHEN var <= 1e-12 THEN 0 ELSE (m4 - 4 * m1 * m3 + 6 * pow(m1, 2) * m2 - 3 * pow(m1, 4)) / (var * var) - 3 END AS kurt
-  FROM (SELECT *, m2 - m1 * m1 AS var FROM raw WHERE held = {N})),
-features AS (
-  SELECT *, avg("range") OVER ({W} ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS usual FROM moments)"""
+# Bands: the mean of the last eight values is the baseline, what is over it is clean; steps are high frequency, slopes the QRS band.
+FLAT, RAIL, BACK = 12.0, 488.0, 64
+
+
+def _banded(spark, sf_dir):
+    w = by_channel()
+    rows = beats(spark, sf_dir).select("channel", "pos", "event_id", "event_type", "value", F.col("value").alias("raw"), F.avg("value").over(rows_back(8)).alias("baseline"))
+    rows = rows.withColumn("clean", F.col("value") - F.col("baseline")).withColumn("hf", (F.col("clean") - F.coalesce(F.lag("clean").over(w), F.lit(0.0))) / 12)
+    return rows.withColumn("qrs", (F.coalesce(F.lag("clean", 1).over(w), F.lit(0.0)) + F.col("clean")) / 2)
 
 
 def _features(spark, sf_dir):
-    return signal.moments(beats(spark, sf_dir), "value", N).withColumn("usual", F.avg("range").over(rows_back(64)))
+    return signal.relative(signal.band_features(_banded(spark, sf_dir), N, FLAT, RAIL), BACK)
+
+
+_R = f"({W} ROWS BETWEEN {N - 1} PRECEDING AND CURRENT ROW)"
+_PAST = f"({W} ROWS BETWEEN {BACK} PRECEDING AND 1 PRECEDING)"
+_MOMENTS = f"""{BEATS_SQL}, b1 AS (SELECT *, avg(value) OVER ({W} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS baseline FROM beats),
+b2 AS (SELECT *, value - baseline AS clean, lag(value - baseline) OVER ({W}) AS before FROM b1),
+b3 AS (SELECT *, (clean - coalesce(before, 0)) / 12 AS hf, (clean + coalesce(before, 0)) / 2 AS qrs, CASE WHEN abs(clean - before) < {FLAT} THEN 1.0 ELSE 0.0 END AS still FROM b2),
+raw AS (SELECT channel, pos, event_id, event_type, value, count(*) OVER r AS held, avg(clean) OVER r AS m1, avg(pow(clean, 2)) OVER r AS m2, avg(pow(clean, 3)) OVER r AS m3, avg(pow(clean, 4)) OVER r AS m4,
+  max(clean) OVER r - min(clean) OVER r AS p2p, avg(hf * hf) OVER r AS ph, greatest(avg(baseline * baseline) OVER r - pow(avg(baseline) OVER r, 2), 0) AS pb, avg(qrs * qrs) OVER r AS pq,
+  avg(CASE WHEN abs(value) >= {RAIL} THEN 1.0 ELSE 0.0 END) OVER r AS sat, avg(still) OVER r AS flat FROM b3 WINDOW r AS {_R}),
+moments AS (
+  SELECT *, CASE WHEN var <= 1e-12 THEN 0 ELSE (m3 - 3 * m1 * m2 + 2 * pow(m1, 3)) / pow(var, 1.5) END AS skew,
+    CASE WHEN var <= 1e-12 THEN 0 ELSE (m4 - 4 * m1 * m3 + 6 * pow(m1, 2) * m2 - 3 * pow(m1, 4)) / (var * var) - 3 END AS kurt,
+    ph / (ph + m2 + 1e-12) AS hf_ratio, pb / (pb + m2 + 1e-12) AS base_ratio, pq / (m2 + 1e-12) AS qrs_ratio
+  FROM (SELECT *, m2 - m1 * m1 AS var FROM raw WHERE held = {N})),
+refs AS (SELECT *, list_sort(list(p2p) OVER {_PAST}) AS rp, list_sort(list(kurt) OVER {_PAST}) AS rk, list_sort(list(qrs_ratio) OVER {_PAST}) AS rq FROM moments),
+features AS (SELECT *, CASE WHEN len(rp) > 1 THEN p2p / greatest(rp[len(rp) // 2 + 1], 1e-9) ELSE 1 END AS p2p_rel, CASE WHEN len(rp) > 1 THEN kurt / greatest(rk[len(rk) // 2 + 1], 0.5) ELSE 1 END AS kurtosis_rel,
+  CASE WHEN len(rp) > 1 THEN qrs_ratio / greatest(rq[len(rq) // 2 + 1], 1e-3) ELSE 1 END AS qrs_ratio_rel FROM refs)"""
+_FEATURES = ("kurt", "skew", "hf_ratio", "base_ratio", "qrs_ratio", "p2p", "p2p_rel", "kurtosis_rel", "qrs_ratio_rel", "flat")
 
 
 def quality_features(spark, sf_dir):
-    return _features(spark, sf_dir).select("channel", "event_id", F.round("kurt", 5).alias("kurt"), F.round("skew", 5).alias("skew"), F.round("range", 5).alias("range"), F.round(F.col("range") / F.col("usual"), 5).alias("relative"))
+    return _features(spark, sf_dir).select("channel", "event_id", *(F.round(c, 5).alias(c) for c in _FEATURES), F.round("saturated", 5).alias("sat"))
 
 
-QUALITY_FEATURES = f'WITH {_MOMENTS} SELECT channel, event_id, round(kurt, 5) AS kurt, round(skew, 5) AS skew, round("range", 5) AS "range", round("range" / usual, 5) AS relative FROM features'
+QUALITY_FEATURES = f"WITH {_MOMENTS} SELECT channel, event_id, {', '.join(f'round({c}, 5) AS {c}' for c in _FEATURES)}, round(sat, 5) AS sat FROM features"
 
 
 def _judged(spark, sf_dir):
-    rel = F.col("range") / F.col("usual")
-    rows = _features(spark, sf_dir).withColumn("rel", F.round(rel, 6)).withColumn("k", F.round("kurt", 6))
-    tests = {"saturated": F.col("range") > 480, "flat": F.col("var") < 4000, "unstable": (F.col("k") < -1.2) & (F.col("rel") < 0.97), "low": ~F.col("rel").between(0.85, 1.1), "off": F.col("rel") < 0.8}
-    rows = rows.withColumn("flags", signal.flag_bits(tests))
-    score = (signal.ramp(F.col("kurt"), -1.8, 1.0) + signal.ramp(rel, 0.5, 1.0)) / 2 * F.when(F.col("flags").bitwiseAND(1) != 0, 0.5).otherwise(1.0)
-    rows = rows.withColumn("score", F.round(score, 6))
+    rows = _features(spark, sf_dir)
+    # decisions at a threshold are made on rounded numbers, so that the order of a sum does not decide them
+    rows = rows.withColumns({c: F.round(c, 9) for c in ("kurt", "hf_ratio", "base_ratio", "qrs_ratio", "p2p_rel", "kurtosis_rel", "qrs_ratio_rel", "saturated", "flat")})
+    rows = rows.withColumn("flags", signal.flag_bits(signal.quality_tests(CLINICAL))).withColumn("score", F.round(signal.quality_score(CLINICAL), 6))
     return rows.withColumn("level", signal.quality_level(F.col("flags"), F.col("score")))
 
 
-_JUDGED = f"""{_MOMENTS}, r AS (SELECT *, round("range" / usual, 6) AS rel, round(kurt, 6) AS k FROM features),
-f AS (SELECT *, CAST((CASE WHEN "range" > 480 THEN 1 ELSE 0 END) + (CASE WHEN var < 4000 THEN 2 ELSE 0 END) + (CASE WHEN k < -1.2 AND rel < 0.97 THEN 16 ELSE 0 END)
-  + (CASE WHEN NOT (rel BETWEEN 0.85 AND 1.1) THEN 32 ELSE 0 END) + (CASE WHEN rel < 0.8 THEN 64 ELSE 0 END) AS INT) AS flags FROM r),
-s AS (SELECT *, round((least(greatest((kurt + 1.8) / 2.8, 0), 1) + least(greatest(("range" / usual - 0.5) / 0.5, 0), 1)) / 2 * (CASE WHEN flags & 1 != 0 THEN 0.5 ELSE 1 END), 6) AS score FROM f),
+def _ramp(x, lo, hi):
+    return f"least(greatest(({x} - {lo}) / ({hi} - {lo}), 0), 1)"
+
+
+_JUDGED = f"""{_MOMENTS}, n AS (SELECT channel, event_id, pos, event_type, value, p2p, round(kurt, 9) AS k, round(hf_ratio, 9) AS h, round(base_ratio, 9) AS b, round(qrs_ratio, 9) AS q, round(p2p_rel, 9) AS rel, round(kurtosis_rel, 9) AS kr,
+  round(qrs_ratio_rel, 9) AS qr, round(sat, 9) AS sat, round(flat, 9) AS flat FROM features),
+f AS (SELECT *, CAST((CASE WHEN sat > 0.02 THEN 1 ELSE 0 END) + (CASE WHEN flat > 0.9 THEN 2 ELSE 0 END) + (CASE WHEN b > 0.5 THEN 4 ELSE 0 END) + (CASE WHEN h > 0.1 THEN 8 ELSE 0 END) + (CASE WHEN rel < 0.3 OR rel > 2.0 THEN 16 ELSE 0 END)
+  + (CASE WHEN k < 2.5 AND kr < 0.6 THEN 32 ELSE 0 END) + (CASE WHEN rel < 0.15 THEN 64 ELSE 0 END) AS INT) AS flags FROM n),
+s AS (SELECT *, round(least(greatest((greatest({_ramp('k', 0.5, 2.5)}, {_ramp('kr', 0.2, 0.6)}) + greatest({_ramp('q', 0.08, 0.22)}, {_ramp('qr', 0.2, 0.6)}) + {_ramp('rel', 0.15, 0.3)} * (1 - {_ramp('rel', 2.0, 4.0)})) / 3
+  * (1 - {_ramp('h', 0.35, 1.0)}) * (1 - {_ramp('b', 0.85, 1.0)}) * {_ramp('rel', 0.075, 0.15)} * (1 - {_ramp('sat', 0.01, 0.02)}) * (1 - {_ramp('flat', 0.72, 0.9)}), 0), 1), 6) AS score FROM f),
 judged AS (SELECT *, CASE WHEN flags & 3 != 0 OR score <= 0.5 THEN 2 WHEN score <= 0.75 THEN 1 ELSE 0 END AS level FROM s)"""
 
 
@@ -85,14 +110,23 @@ QUALITY_DWELL = f"""WITH {_JUDGED} SELECT channel, count_if(level = 0)::BIGINT A
   arg_min(event_id, {{'a': score, 'b': event_id}}) AS worst FROM judged GROUP BY channel"""
 
 
-def leadoff_entry(spark, sf_dir):
-    rows = signal.consecutive(_judged(spark, sf_dir), F.col("rel") < 0.95, 4, "low_hops")
-    return rows.where("low_hops_entered").select("channel", "event_id", F.col("low_hops").cast("long").alias("low_hops"))
+_KINDS = "CASE WHEN sat >= 0.0625 OR flags & 1 != 0 THEN 'rail' WHEN rel >= 1.05 AND qr <= 0.95 THEN 'open' END"
+
+
+def leadoff_episodes(spark, sf_dir):
+    """Stretches with the electrode off: at a rail, or an open input."""
+    rail = (F.col("saturated") >= 0.0625) | (F.col("flags").bitwiseAND(1) != 0)
+    kind = F.when(rail, "rail").when((F.col("p2p_rel") >= 1.05) & (F.col("qrs_ratio_rel") <= 0.95), "open")
+    found = signal.lead_off(_judged(spark, sf_dir), kind, 2, 4)
+    return found.select("channel", "kind", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
-LEADOFF_ENTRY = f"""WITH {_JUDGED}, k AS (SELECT *, row_number() OVER ({W}) AS k2 FROM judged),
-c AS (SELECT *, CASE WHEN rel < 0.95 THEN k2 - coalesce(max(CASE WHEN NOT rel < 0.95 THEN k2 END) OVER ({W} ROWS UNBOUNDED PRECEDING), 0) ELSE 0 END AS low_hops FROM k)
-SELECT channel, event_id, low_hops FROM c WHERE low_hops >= 4"""
+LEADOFF_EPISODES = f"""WITH {_JUDGED}, k AS (SELECT channel, pos, event_id, {_KINDS} AS kind, row_number() OVER ({W}) AS k, max(pos) OVER (PARTITION BY channel) AS last FROM judged),
+t AS (SELECT *, CASE WHEN k = 1 OR kind IS DISTINCT FROM lag(kind) OVER ({W}) THEN k END AS turn FROM k),
+r AS (SELECT *, k - max(turn) OVER ({W} ROWS UNBOUNDED PRECEDING) + 1 AS n FROM t),
+o AS (SELECT *, coalesce(last_value(CASE WHEN kind IS NOT NULL AND n >= 2 THEN 1 WHEN kind IS NULL AND n >= 4 THEN 0 END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), 0) AS opened FROM r),
+m AS (SELECT *, lead(pos) OVER ({W}) AS nxt FROM (SELECT *, coalesce(lag(opened) OVER ({W}), 0) AS was FROM o) WHERE opened != was)
+SELECT channel, kind, round(pos, 6) AS start, round(coalesce(nxt, last), 6) AS "end" FROM m WHERE opened = 1"""
 
 
 def tone_power(spark, sf_dir):
@@ -142,7 +176,7 @@ SELECT channel, tick, round(value * (1 - (tick * 6 - pos) / (nxt - pos)) + thn *
 
 _ALL = (
     (moving_statistics, MOVING_STATISTICS), (exponential_mean, EXPONENTIAL_MEAN), (quality_features, QUALITY_FEATURES), (quality_flags, QUALITY_FLAGS), (quality_dwell, QUALITY_DWELL),
-    (leadoff_entry, LEADOFF_ENTRY), (tone_power, TONE_POWER), (phase_space_density, PHASE_SPACE_DENSITY), (envelope_variation, ENVELOPE_VARIATION), (resampled, RESAMPLED),
+    (leadoff_episodes, LEADOFF_EPISODES), (tone_power, TONE_POWER), (phase_space_density, PHASE_SPACE_DENSITY), (envelope_variation, ENVELOPE_VARIATION), (resampled, RESAMPLED),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLE_SQL = {f.__name__: sql for f, sql in _ALL}
