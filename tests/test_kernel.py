@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalstream.config import CLINICAL, ChannelConfig
-from vitalstream.functions import dsp, fibrillation, kernel, quality, shapes, waves
+from vitalstream.functions import detector, dsp, fibrillation, kernel, quality, shapes, waves
 from vitalstream.operators import channel
 from vitalstream.sources.tables import synthetic_packets
 
@@ -105,7 +105,7 @@ def test_a_missed_beat_is_searched_for_and_told_late():
     back = [b for b in found if b["recovered"]]
     assert len(back) == 1 and abs(back[0]["sample"] - 30.3 * FS) < 10
     late = [b["now"] - b["sample"] for b in found if not b["recovered"]]
-    assert max(late) <= kernel.Detector(CLINICAL).latency() + 0.12 * FS
+    assert max(late) <= detector.Detector(CLINICAL).latency() + 0.12 * FS
     sinus_t = [b for b in found if b["sample"] > 5 * FS]
     assert min(np.diff([b["sample"] for b in sinus_t])) > 0.9 * FS  # no T wave is a beat
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 from ..config import CLINICAL, ChannelConfig
-from . import fibrillation, quality, shapes, waves
-from .detector import Beat, Detector
+from . import fibrillation, quality, shapes, stages, waves
+from .detector import Beat
 from .dsp import FilterBank, mains_frequency
 
 FIELDS = {
@@ -32,8 +32,9 @@ Event = tuple[str, int, list[float], list[float] | None]
 class ChannelKernel:
     """Fed with blocks of samples of any length; the blocks make no difference to the events."""
 
-    def __init__(self, cfg: ChannelConfig = CLINICAL) -> None:
+    def __init__(self, cfg: ChannelConfig = CLINICAL, chosen: stages.Selection | None = None) -> None:
         self.cfg, self.fs, self.bank = cfg, cfg.fs, None
+        self.stages = chosen or stages.selection("", cfg)
         self.first: list[np.ndarray] = []
         self.n = 0
 
@@ -44,9 +45,10 @@ class ChannelKernel:
         self.envelope = cfg.samples(waves.ENVELOPE_MS)
         whole = lambda v: max(0, int(np.floor(v + 0.5)))
         self.delays = whole(at("qrs", 10.0) + (self.envelope - 1) / 2), whole(at("wave", 10.0)), whole(at("wave", 6.0))
-        self.monitor, self.off = quality.Monitor(cfg), quality.LeadOff(cfg)
-        self.detector, self.windows = Detector(cfg, at("clean", 12.0)), fibrillation.Windows(cfg.fs)
-        self.analyzer, self.leader = shapes.Analyzer(cfg), shapes.Leader(cfg.join_ncc, cfg.shape_rate, cfg.most_shapes, cfg.merge_ncc)
+        make = self.stages.make
+        self.monitor, self.off = make("quality"), quality.LeadOff(cfg)
+        self.detector, self.windows = make("qrs", at("clean", 12.0)), make("vf")
+        self.analyzer, self.leader = make("beat"), shapes.Leader(cfg.join_ncc, cfg.shape_rate, cfg.most_shapes, cfg.merge_ncc)
         self.monitor.n = self.detector.n = self.detector.pos = self.detector.start = self.windows.n = self.n
         self.pace = 0.0
         self.bad = self.unled = self.bad_then = self.unled_then = 0

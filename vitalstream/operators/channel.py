@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..config import CLINICAL, ChannelConfig
 from ..functions import confidence
 from ..functions.kernel import FIELDS, ChannelKernel, Event
+from ..functions.stages import Selection, selection
 from . import scoring
 
 EVENTS = "channel long, kind string, sample long, values array<double>, vector array<double>"
@@ -31,8 +32,9 @@ _YES = {"recovered", "unusable", "span_quality", "span_lead", "quality_ok", "tem
 class Feed:
     """Packets to a kernel, with what was late, lost and taken."""
 
-    def __init__(self, cfg: ChannelConfig) -> None:
-        self.kernel, self.expected, self.size = ChannelKernel(cfg), 0, 0
+    def __init__(self, cfg: ChannelConfig, chosen: str | Selection = "") -> None:
+        picked = chosen if isinstance(chosen, Selection) else selection(chosen, cfg)
+        self.kernel, self.expected, self.size = ChannelKernel(cfg, picked), 0, 0
         self.accepted = self.late = self.missing = 0
 
     def drop(self, packets: int) -> list[Event]:
@@ -69,9 +71,10 @@ def _batch(channel: int, events: list[Event]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["channel", "kind", "sample", "values", "vector"])
 
 
-def analyse(packets: DataFrame, cfg: ChannelConfig = CLINICAL) -> DataFrame:
+def analyse(packets: DataFrame, cfg: ChannelConfig = CLINICAL, chosen: str | Selection = "") -> DataFrame:
     """All events of (channel, sequence, samples[, arrival]). A channel's packets come to its kernel in batches, never as one frame.
 
+    ``chosen`` names the kernel's stages, as ``qrs=eager;vf=window``, or holds a host's own.
     A channel is one task's work: its samples hang on each other in order.
     """
 
@@ -87,7 +90,7 @@ def analyse(packets: DataFrame, cfg: ChannelConfig = CLINICAL) -> DataFrame:
                 if keys[head] != channel:
                     if feed is not None:
                         yield _batch(channel, feed.kernel.finish())
-                    channel, feed = int(keys[head]), Feed(cfg)
+                    channel, feed = int(keys[head]), Feed(cfg, chosen)
                 yield _batch(channel, feed.take(sequence[head:stop], flat, edges[head : stop + 1]))
         if feed is not None:
             yield _batch(channel, feed.kernel.finish())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -33,10 +35,10 @@ def fit_softmax(rows: DataFrame, features: list[str], label: str, ridge: float =
     return [{"bias": float(b[k] - b[0])} | {f: float(w[k][i] - w[0][i]) for i, f in enumerate(features)} for k in range(len(b))]
 
 
-def fit_trees(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 3, seed: int = 1) -> list[list[dict]]:
+def fit_trees(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 3, seed: int = 1, weight: str | None = None) -> list[list[dict]]:
     """Boosted trees as node lists that scoring.tree() compiles; the step size is folded into the leaves."""
     x = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(rows.withColumn("_y", F.col(label).cast("double")))
-    model = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2).fit(x)
+    model = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2, **({"weightCol": weight} if weight else {})).fit(x)
     out = []
     for t, w in zip(model.trees, model.treeWeights, strict=True):
         nodes: list[dict] = []
@@ -67,3 +69,31 @@ def thin(rows: DataFrame, order: list[str], stride: int, *keys: str) -> DataFram
     """Every ``stride``-th row of each key in ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_k", F.row_number().over(w)).where((F.col("_k") - 1) % stride == 0).drop("_k")
+
+
+def patch_fit(rows: DataFrame, features: list[str], label: str, corpus: str, record: str, stride: int, order: list[str], temperature: float = 1.0, **settings) -> dict:
+    """Trees fitted across corpora: negatives thinned to every ``stride``-th of a record, each corpus half of the weight, leaves over ``temperature``.
+
+    The model is what emit() writes: features, trees and the temperature that is already in the leaves.
+    """
+    kept = rows.where(F.col(label) == 1).unionByName(thin(rows.where(F.col(label) != 1), order, stride, record))
+    sizes = kept.groupBy(corpus, label).agg(F.count("*").alias("_n"))
+    weighed = kept.join(sizes, [corpus, label]).withColumn("_w", 1.0 / F.col("_n")).drop("_n")
+    trees = fit_trees(weighed, features, label, weight="_w", **settings)
+    for nodes in trees:
+        for n in nodes:
+            if n["feature"] is None:
+                n["value"] /= temperature
+    return {"features": features, "trees": trees, "temperature": temperature}
+
+
+def emit(model: dict) -> str:
+    """A model as JSON: what read_model() reads back unchanged."""
+    return json.dumps(model, sort_keys=True)
+
+
+def read_model(text: str) -> dict:
+    model = json.loads(text)
+    if set(model) != {"features", "trees", "temperature"}:
+        raise ValueError("not a model of features, trees and a temperature")
+    return model

@@ -8,6 +8,7 @@ a whole chain of these operators.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,8 @@ def hysteresis(rows: DataFrame, score: str, enter: float, leave: float, state: s
     return rows.withColumn(state, F.coalesce(last_seen(vote, w), F.lit(False)))
 
 
-def episodes(rows: DataFrame, flag: str, bridge: float, least: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(channel, keys, start, end, n) of episodes of ``flag``.
+def episodes(rows: DataFrame, flag: str, bridge: float | str, least: float | str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(channel, keys, start, end, n) of episodes of ``flag``; ``bridge`` and ``least`` are numbers, or columns that hang on the keys.
 
     An episode opens at a positive row and is ended by a negative one that lies
     over ``bridge`` past its last positive; silence ends nothing. It is told if
@@ -67,12 +68,165 @@ def episodes(rows: DataFrame, flag: str, bridge: float, least: float, keys: tupl
     """
     w = by_channel(*keys)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("last_yes", F.max(F.when(F.col(flag), F.col(ORDER))).over(past)).withColumn("last_no", F.max(F.when(~F.col(flag), F.col(ORDER))).over(past))
+    bridge, least = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (bridge, least))
+    out = rows.withColumn("_least", least).withColumn("last_yes", F.max(F.when(F.col(flag), F.col(ORDER))).over(past)).withColumn("last_no", F.max(F.when(~F.col(flag), F.col(ORDER))).over(past))
     out = out.where(F.col(flag))
     opens = F.col("last_yes").isNull() | ((F.col("last_no") > F.col("last_yes")) & (F.col("last_no") - F.col("last_yes") > bridge))
     out = out.withColumn("island", F.sum(opens.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = out.groupBy(CHANNEL, *keys, "island").agg(F.min(ORDER).alias("start"), F.max(ORDER).alias("end"), F.count("*").alias("n"))
-    return grouped.where(F.col("end") - F.col("start") >= least).drop("island")
+    grouped = out.groupBy(CHANNEL, *keys, "island").agg(F.min(ORDER).alias("start"), F.max(ORDER).alias("end"), F.count("*").alias("n"), F.first("_least").alias("_least"))
+    return grouped.where(F.col("end") - F.col("start") >= F.col("_least")).drop("island", "_least")
+
+
+def suppressed(rows: DataFrame, flag: str, bridge: float, least: float) -> DataFrame:
+    """(channel, start, end): from the row that confirms an episode of ``flag`` to the negative row that ends it, or the channel's end."""
+    w, last = by_channel(), Window.partitionBy(CHANNEL)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("last_yes", F.max(F.when(F.col(flag), F.col(ORDER))).over(past)).withColumn("last_no", F.max(F.when(~F.col(flag), F.col(ORDER))).over(past)).withColumn("_end", F.max(ORDER).over(last))
+    opens = F.col(flag) & (F.col("last_yes").isNull() | ((F.col("last_no") > F.col("last_yes")) & (F.col("last_no") - F.col("last_yes") > bridge)))
+    out = out.withColumn("island", F.sum(opens.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    over = ~F.col(flag) & (F.col(ORDER) - F.col("last_yes") > bridge)
+    first = F.min(F.when(opens, F.col(ORDER))).over(Window.partitionBy(CHANNEL, "island"))
+    out = out.where("island > 0").withColumn("_first", first)
+    grouped = out.groupBy(CHANNEL, "island").agg(
+        F.min(F.when(F.col(flag) & (F.col(ORDER) - F.col("_first") >= least), F.col(ORDER))).alias("start"), F.coalesce(F.min(F.when(over, F.col(ORDER))), F.first("_end")).alias("end")
+    )
+    return grouped.where("start IS NOT NULL").drop("island")
+
+
+@dataclass(frozen=True)
+class BankParams:
+    """Thresholds of the nine conditions, in the units of the positions; rates are intervals per ``unit``."""
+
+    unit: float = 60_000.0
+    pause: float = 2000.0
+    asystole: float = 4000.0
+    slow: float = 50.0
+    fast: float = 100.0
+    run: int = 3
+    run_rate: float = 100.0
+    escape_low: float = 15.0
+    escape_share: float = 1.3
+    cycles: int = 3
+    quiet: float = 0.014
+    #: (bridge, least) of events, sustained conditions, patterns and escapes
+    event: tuple[float, float] = (0.0, 0.0)
+    sustained: tuple[float, float] = (5000.0, 15_000.0)
+    pattern: tuple[float, float] = (3000.0, 6000.0)
+    escape: tuple[float, float] = (2000.0, 0.0)
+
+
+HISTORY = 16
+
+
+def conditions(rr: DataFrame, p: BankParams) -> DataFrame:
+    """``rr`` with a column for each of nine conditions, gated: pause and asystole by lead and quiet, the others by trust, patterns by a known class too."""
+    w = by_channel()
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rr.withColumn("nth", F.row_number().over(w)).withColumn("v", F.col("class").isin("V", "F"))
+    rows = rows.withColumn("sum", F.sum("rr").over(upto)).withColumn("odd", F.sum((~F.col("physiological")).cast("long")).over(upto))
+    run = F.when(F.col("v"), F.col("nth") - F.coalesce(F.max(F.when(~F.col("v"), F.col("nth"))).over(upto), F.lit(0))).otherwise(0)
+    rows = rows.withColumn("run", F.least(run, F.lit(HISTORY))).withColumn("n", F.least("nth", F.lit(HISTORY)))
+    # running sums up to so many rows back: an interval's sum is the difference of two
+    before = F.array_append(F.reverse(F.collect_list(F.struct("sum", "odd")).over(w.rowsBetween(-HISTORY, 0))), F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("odd")))
+    rows = rows.withColumn("back", before)
+
+    def mean_rate(newest, count):
+        a, b = F.get("back", newest.cast("int")), F.get("back", (newest + count).cast("int"))
+        whole = (a["odd"] == b["odd"]) & (a["sum"] > b["sum"])
+        return F.when(whole, p.unit * count / (a["sum"] - b["sum"]))
+
+    eight = F.lit(8)
+    rows = rows.withColumn("rate", F.when(F.col("n") >= 8, mean_rate(F.lit(0), eight)))
+    own = F.least(F.col("run") - 1, eight)
+    rows = rows.withColumn("run_rate", F.when(own >= 2, mean_rate(F.lit(0), own)))
+    lead = F.least(eight, F.col("n") - F.col("run"))
+    rows = rows.withColumn("rate_before", F.when(lead >= 2, mean_rate(F.col("run"), lead)))
+    in_run = F.col("run") >= p.run
+    slow = in_run & (F.col("run_rate") >= p.escape_low) & (F.col("run_rate") < p.run_rate)
+    slow = slow & F.when(F.col("rate_before").isNull(), F.col("run") >= HISTORY - 2).otherwise(F.col("run_rate") <= p.escape_share * F.col("rate_before"))
+
+    def pattern(period):
+        test = F.col("v") & (F.col("nth") >= period * p.cycles)
+        for k in range(1, period * p.cycles):
+            other = F.lag("class", k).over(w)
+            test = test & (other.isin("V", "F") if k % period == 0 else other.isin("N", "S"))
+        return test
+
+    quiet = F.col("lead_ok") & (F.col("interval_energy") <= p.quiet)
+    known = F.col("usable") & (F.col("class") != "Unknown")
+    tests = {
+        "pause": quiet & (F.col("rr") >= p.pause), "asystole": quiet & (F.col("rr") >= p.asystole), "slow": F.col("usable") & (F.col("rate") < p.slow), "fast": F.col("usable") & (F.col("rate") > p.fast),
+        "ventricular run": known & in_run, "ventricular tachycardia": known & in_run & (F.col("run_rate") >= p.run_rate), "bigeminy": known & pattern(2), "trigeminy": known & pattern(3), "idioventricular": known & slow,
+    }
+    return rows.select(*rr.columns, *(F.coalesce(t, F.lit(False)).alias(k) for k, t in tests.items()))
+
+
+def bank(rr: DataFrame, p: BankParams) -> DataFrame:
+    """(channel, kind, start, end, n) of the episodes of nine conditions, each with its own tracker."""
+    ways = {"slow": p.sustained, "fast": p.sustained, "bigeminy": p.pattern, "trigeminy": p.pattern, "idioventricular": p.escape}
+    names = ("pause", "asystole", "slow", "fast", "ventricular run", "ventricular tachycardia", "bigeminy", "trigeminy", "idioventricular")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("on"), *(F.lit(float(x)).alias(c) for c, x in zip(("bridge", "least"), ways.get(k, p.event), strict=True))) for k in names)))
+    rows = conditions(rr, p).select("channel", "pos", "event_id", each.alias("c")).select("channel", "pos", "event_id", "c.*")
+    return episodes(rows, "on", "bridge", "least", ("kind",))
+
+
+class SvRuns:
+    """Runs that start with a sudden quickening: four intervals against the four before, then held while intervals stay near a running mean.
+
+    Intervals of one channel in order; a run of ``least`` beats or more is told when it ends.
+    """
+
+    def __init__(self, step: float = 0.75, longest: float = 600.0, even: float = 0.12, band: float = 0.17, grace: int = 3, least: int = 16) -> None:
+        self.step, self.longest, self.even, self.band, self.grace, self.least = step, longest, even, band, grace, least
+        self.recent: list[tuple[float, float]] = []
+        self.open: list | None = None  # start, last, mean, beats, misses
+
+    def push(self, rr: float, at: float, usable: bool, fibrillating: bool) -> tuple[float, float, int] | None:
+        if self.open:
+            start, last, usual, beats, misses = self.open
+            if usable and abs(rr - usual) <= self.band * usual:
+                self.open = [start, at, usual + 0.1 * (rr - usual), beats + 1, 0]
+                return None
+            self.open[4] = misses + 1
+            return self.finish() if misses + 1 > self.grace else None
+        self.recent = [*self.recent[-7:], (rr, at)] if usable else []
+        if len(self.recent) < 8 or fibrillating:
+            return None
+        values = [x for x, _ in self.recent]
+        median = lambda v: sum(sorted(v)[1:3]) / 2
+        a, b, late = median(values[:4]), median(values[4:]), np.array(values[4:])
+        if b < self.step * a and b <= self.longest and late.std() / max(late.mean(), 1e-9) <= self.even:
+            self.open = [self.recent[4][1], at, b, 4, 0]
+        return None
+
+    def finish(self) -> tuple[float, float, int] | None:
+        """What the end of the channel, or of a run, tells."""
+        found, self.open, self.recent = self.open, None, []
+        return (found[0], found[1], found[3]) if found and found[3] >= self.least and found[2] <= self.longest else None
+
+
+def sv_runs(rr: DataFrame, **settings) -> DataFrame:
+    """(channel, start, end, beats) of quick runs over rows of (channel, pos, event_id, rr, usable, fibrillating), in order within a channel."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel, runs = None, SvRuns(**settings)
+        for batch in batches:
+            out = []
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("channel", "rr", "pos", "usable", "fibrillating")), strict=True):
+                if key != channel:
+                    out += [(channel, runs.finish())]
+                    channel, runs = key, SvRuns(**settings)
+                out.append((channel, runs.push(*row)))
+            yield _told(out)
+        yield _told([(channel, runs.finish())])
+
+    def _told(found: list) -> pa.RecordBatch:
+        rows = [(c, *r) for c, r in found if r]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["channel", "start", "end", "beats"])
+
+    slim = rr.select("channel", "pos", "event_id", "rr", "usable", "fibrillating").repartition("channel").sortWithinPartitions("channel", "pos", "event_id")
+    return slim.select("channel", "rr", "pos", "usable", "fibrillating").mapInArrow(each, "channel long, start double, end double, beats long")
 
 
 def rate(rr: DataFrame, beats_back: int = 8, unit: float = 60.0) -> DataFrame:

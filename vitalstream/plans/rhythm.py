@@ -268,31 +268,139 @@ SELECT channel, event_id, round(a, 6) AS "before", round(b, 6) AS "after" FROM m
 
 
 def sv_run_features(spark, sf_dir):
-    """Rate, drop, trend and return of runs of three or more beats closer than a quarter day."""
+    """Rate, lead-in, biggest drop, evenness, trend, pause and return of runs of three or more beats closer than a quarter day."""
     rr = _rr(spark, sf_dir)
     w = rhythm.by_channel()
     rr = rr.withColumn("quick", F.col("rr") < 6.0).withColumn("k", F.row_number().over(w))
-    rr = rr.withColumn("rr_before", F.lag("rr").over(w)).withColumn("rr_after", F.lead("rr").over(w))
-    runs = rr.where("quick").withColumn("island", F.col("k") - F.row_number().over(w))
+    rr = rr.withColumn("rr_before", F.lag("rr").over(w)).withColumn("rr_after", F.lead("rr").over(w)).withColumn("after", F.avg("rr").over(w.rowsBetween(1, 4)))
+    runs = rr.where("quick").withColumn("island", F.col("k") - F.row_number().over(w)).withColumn("place", F.row_number().over(rhythm.by_channel("island")))
     made = runs.groupBy("channel", "island").agg(
-        F.count("*").alias("n"), F.avg("rr").alias("mean_rr"), F.min_by("rr_before", "k").alias("lead"), F.max_by("rr_after", "k").alias("pause"),
+        F.count("*").alias("n"), F.avg("rr").alias("mean_rr"), F.min_by("rr_before", "k").alias("lead"), F.max_by("rr_after", "k").alias("pause"), (F.max_by("after", "k") / F.avg("rr")).alias("return"),
+        F.least(F.lit(1.0), F.min(F.when(F.col("place") <= 4, F.col("rr") / F.col("rr_before")))).alias("drop"),
         (F.stddev_samp("rr") / F.avg("rr")).alias("cv"), F.regr_slope("rr", F.col("k").cast("double")).alias("trend"), F.min("pos").alias("start"),
     )
-    return made.where("n >= 3").select("channel", F.round("start", 6).alias("start"), "n", *(F.round(c, 6).alias(c) for c in ("mean_rr", "lead", "pause", "cv", "trend")))
+    return made.where("n >= 3").select("channel", F.round("start", 6).alias("start"), "n", *(F.round(c, 6).alias(c) for c in ("mean_rr", "lead", "drop", "pause", "return", "cv", "trend")))
 
 
 SV_RUN_FEATURES = f"""WITH {RR_SQL}, k AS (
-  SELECT *, rr < 6.0 AS quick, row_number() OVER w AS k, lag(rr) OVER w AS rb, lead(rr) OVER w AS ra FROM rr WINDOW w AS (PARTITION BY channel ORDER BY pos, event_id)),
-i AS (SELECT *, k - row_number() OVER (PARTITION BY channel ORDER BY pos, event_id) AS island FROM k WHERE quick)
-SELECT channel, round(min(pos), 6) AS start, count(*) AS n, round(avg(rr), 6) AS mean_rr, round(arg_min_null(rb, k), 6) AS lead, round(arg_max_null(ra, k), 6) AS pause,
-  round(stddev_samp(rr) / avg(rr), 6) AS cv, round(regr_slope(rr, k::DOUBLE), 6) AS trend FROM i GROUP BY channel, island HAVING count(*) >= 3"""
+  SELECT *, rr < 6.0 AS quick, row_number() OVER w AS k, lag(rr) OVER w AS rb, lead(rr) OVER w AS ra, avg(rr) OVER (PARTITION BY channel ORDER BY pos, event_id ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS af FROM rr WINDOW w AS (PARTITION BY channel ORDER BY pos, event_id)),
+i AS (SELECT *, k - row_number() OVER (PARTITION BY channel ORDER BY pos, event_id) AS island FROM k WHERE quick), p AS (SELECT *, row_number() OVER (PARTITION BY channel, island ORDER BY pos, event_id) AS place FROM i)
+SELECT channel, round(min(pos), 6) AS start, count(*) AS n, round(avg(rr), 6) AS mean_rr, round(arg_min_null(rb, k), 6) AS lead, round(least(1.0, min(CASE WHEN place <= 4 THEN rr / rb END)), 6) AS drop, round(arg_max_null(ra, k), 6) AS pause,
+  round(arg_max_null(af, k) / avg(rr), 6) AS "return", round(stddev_samp(rr) / avg(rr), 6) AS cv, round(regr_slope(rr, k::DOUBLE), 6) AS trend FROM p GROUP BY channel, island HAVING count(*) >= 3"""
+
+
+def _trusted(spark, sf_dir):
+    """Intervals between events that are no views; a view is a sample between beats, and quality and lead have to hold at every one."""
+    w = rhythm.by_channel()
+    b = beats(spark, sf_dir).withColumn("beat", F.col("event_type") != "view")
+    b = b.withColumn("span", F.sum(F.col("beat").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    span = Window.partitionBy("channel", "span")
+    b = b.withColumn("quality_ok", F.max("value").over(span) < 470).withColumn("lead_ok", F.max("value").over(span) < 485).withColumn("interval_energy", F.coalesce(F.avg(F.when(~F.col("beat"), F.col("value"))).over(span) / 500, F.lit(0.0)))
+    b = b.where("beat").withColumn("class", F.when(F.col("value") < 10, "Unknown").otherwise(F.col("class"))).withColumn("before", F.lag("pos").over(w)).where("pos > before").withColumn("rr", F.col("pos") - F.col("before"))
+    return b.withColumn("physiological", F.col("rr").between(SHORT, LONG)).withColumn("usable", F.col("physiological") & F.col("quality_ok") & F.col("lead_ok"))
+
+
+_W = "PARTITION BY channel ORDER BY pos, event_id"
+_TRUST = f"""{BEATS_SQL}, s AS (SELECT *, event_type != 'view' AS beat, sum(CASE WHEN event_type != 'view' THEN 1 ELSE 0 END) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS span FROM beats),
+g AS (SELECT channel, coalesce(span, -1) AS span, bool_and(value < 470) AS quality_ok, bool_and(value < 485) AS lead_ok, coalesce(avg(CASE WHEN NOT beat THEN value END) / 500, 0) AS interval_energy FROM s GROUP BY ALL),
+o AS (SELECT s.channel, event_id, pos, CASE WHEN value < 10 THEN 'Unknown' ELSE class END AS class, quality_ok, lead_ok, interval_energy, lag(pos) OVER (PARTITION BY s.channel ORDER BY pos, event_id) AS before
+  FROM s JOIN g ON s.channel = g.channel AND coalesce(s.span, -1) = g.span WHERE beat),
+trust AS (SELECT *, pos - before AS rr, pos - before BETWEEN {SHORT} AND {LONG} AS physiological, pos - before BETWEEN {SHORT} AND {LONG} AND quality_ok AND lead_ok AS usable FROM o WHERE pos > before)"""
+
+
+def rr_trust(spark, sf_dir):
+    return _trusted(spark, sf_dir).select("channel", "event_id", F.round("rr", 6).alias("rr"), "quality_ok", "lead_ok", F.round("interval_energy", 6).alias("interval_energy"), "usable")
+
+
+RR_TRUST = f"WITH {_TRUST} SELECT channel, event_id, round(rr, 6) AS rr, quality_ok, lead_ok, round(interval_energy, 6) AS interval_energy, usable FROM trust"
+
+BANK = rhythm.BankParams(unit=24.0, pause=20.0, asystole=40.0, slow=2.0, fast=3.0, run=2, run_rate=1.5, escape_low=0.1, escape_share=1.3, cycles=2, quiet=0.6, sustained=(30.0, 24.0), pattern=(20.0, 0.0), escape=(30.0, 0.0))
+
+
+def rhythm_bank(spark, sf_dir):
+    """Episodes of nine conditions, each with its own tracker."""
+    found = rhythm.bank(_trusted(spark, sf_dir), BANK)
+    return found.select("channel", "kind", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "n")
+
+
+def _pattern_sql(period):
+    tests = [f"nth >= {period * BANK.cycles}", "v"] + [f"lag(class, {k}) OVER ({_W}) IN ('V', 'F')" if k % period == 0 else f"lag(class, {k}) OVER ({_W}) IN ('N', 'S')" for k in range(1, period * BANK.cycles)]
+    return f"coalesce({' AND '.join(tests)}, false)"
+
+
+def _rate_sql(newest, count):
+    a, b = f"back[{newest} + 1]", f"back[{newest} + {count} + 1]"
+    return f"CASE WHEN {a}.o = {b}.o AND {a}.s > {b}.s THEN {BANK.unit}::DOUBLE * {count} / ({a}.s - {b}.s) END"
+
+
+_KNOWN = "usable AND class != 'Unknown'"
+_TESTS = {
+    "pause": (f"lead_ok AND interval_energy <= {BANK.quiet} AND rr >= {BANK.pause}", BANK.event), "asystole": (f"lead_ok AND interval_energy <= {BANK.quiet} AND rr >= {BANK.asystole}", BANK.event),
+    "slow": (f"usable AND rate < {BANK.slow}", BANK.sustained), "fast": (f"usable AND rate > {BANK.fast}", BANK.sustained), "ventricular run": (f"{_KNOWN} AND run >= {BANK.run}", BANK.event),
+    "ventricular tachycardia": (f"{_KNOWN} AND run >= {BANK.run} AND run_rate >= {BANK.run_rate}", BANK.event), "bigeminy": (f"{_KNOWN} AND two", BANK.pattern), "trigeminy": (f"{_KNOWN} AND three", BANK.pattern),
+    "idioventricular": (f"{_KNOWN} AND run >= {BANK.run} AND run_rate >= {BANK.escape_low} AND run_rate < {BANK.run_rate} AND CASE WHEN rate_before IS NULL THEN run >= 14 ELSE run_rate <= {BANK.escape_share}::DOUBLE * rate_before END", BANK.escape),
+}
+RHYTHM_BANK = f"""WITH {_TRUST}, n AS (SELECT *, row_number() OVER ({_W}) AS nth, class IN ('V', 'F') AS v, sum(rr) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS s, sum(CASE WHEN physiological THEN 0 ELSE 1 END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS o FROM trust),
+h AS (SELECT *, list_append(list_reverse(list({{'s': s, 'o': o}}) OVER ({_W} ROWS 16 PRECEDING)), {{'s': 0.0::DOUBLE, 'o': 0}}) AS back, least(nth, 16) AS n,
+  least(CASE WHEN v THEN nth - coalesce(max(CASE WHEN NOT v THEN nth END) OVER ({_W} ROWS UNBOUNDED PRECEDING), 0) ELSE 0 END, 16) AS run, {_pattern_sql(2)} AS two, {_pattern_sql(3)} AS three FROM n),
+r AS (SELECT *, CASE WHEN n >= 8 THEN {_rate_sql("0", "8")} END AS rate, CASE WHEN least(run - 1, 8) >= 2 THEN {_rate_sql("0", "least(run - 1, 8)")} END AS run_rate, CASE WHEN least(8, n - run) >= 2 THEN {_rate_sql("run", "least(8, n - run)")} END AS rate_before FROM h),
+rows AS ({" UNION ALL ".join(f"SELECT channel, pos, event_id, '{k}' AS kind, coalesce({t}, false) AS y, {w[0]}::DOUBLE AS bridge, {w[1]}::DOUBLE AS least FROM r" for k, (t, w) in _TESTS.items())}),
+seen AS (SELECT *, max(CASE WHEN y THEN pos END) OVER p AS ly, max(CASE WHEN NOT y THEN pos END) OVER p AS ln FROM rows WINDOW p AS (PARTITION BY channel, kind ORDER BY pos, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+marked AS (SELECT *, sum(CASE WHEN ly IS NULL OR (ln > ly AND ln - ly > bridge) THEN 1 ELSE 0 END) OVER (PARTITION BY channel, kind ORDER BY pos, event_id ROWS UNBOUNDED PRECEDING) AS island FROM seen WHERE y)
+SELECT channel, kind, round(min(pos), 6) AS start, round(max(pos), 6) AS "end", count(*) AS n FROM marked GROUP BY channel, kind, island HAVING max(pos) - min(pos) >= any_value(least)"""
+
+
+def _windows(spark, sf_dir):
+    """Every event a window, its value a probability."""
+    return rhythm.hysteresis(beats(spark, sf_dir).withColumn("p", F.col("value") / 150), "p", 0.80, 0.55, "in_vf").withColumn("sure", F.col("p") >= 0.75)
+
+
+_VF = f"""{BEATS_SQL}, p AS (SELECT *, value / 150 AS p FROM beats),
+vf AS (SELECT *, coalesce(last_value(CASE WHEN p >= 0.8 THEN true WHEN p < 0.55 THEN false END IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING), false) AS in_vf, p >= 0.75 AS sure FROM p)"""
+
+
+def vf_episodes(spark, sf_dir):
+    found = rhythm.episodes(_windows(spark, sf_dir), "in_vf", 100.0, 1.0)
+    return found.select("channel", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "n")
+
+
+VF_EPISODES = f"""WITH {_VF}, seen AS (SELECT *, max(CASE WHEN in_vf THEN pos END) OVER p AS ly, max(CASE WHEN NOT in_vf THEN pos END) OVER p AS ln FROM vf WINDOW p AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+marked AS (SELECT *, sum(CASE WHEN ly IS NULL OR (ln > ly AND ln - ly > 100.0) THEN 1 ELSE 0 END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS island FROM seen WHERE in_vf)
+SELECT channel, round(min(pos), 6) AS start, round(max(pos), 6) AS "end", count(*) AS n FROM marked GROUP BY channel, island HAVING max(pos) - min(pos) >= 1"""
+
+
+def vf_suppressed(spark, sf_dir):
+    """Beats that are told, and those held back while fibrillation is confirmed: a range anti-join."""
+    from ..operators import matching
+
+    spans = rhythm.suppressed(_windows(spark, sf_dir), "sure", 40.0, 10.0).withColumn("span", F.monotonically_increasing_id())
+    b = beats(spark, sf_dir)
+    hit = matching.inside(b.select("channel", F.col("event_id").alias("id"), "pos"), spans, 48.0).where(F.col("pos") < F.col("end")).select(F.col("id").alias("event_id")).distinct()
+    told = b.join(hit, "event_id", "left_anti")
+    held = b.groupBy("channel").agg(F.count("*").alias("all")).join(told.groupBy("channel").agg(F.count("*").alias("told")), "channel", "left")
+    return held.select("channel", F.coalesce("told", F.lit(0)).alias("told"), (F.col("all") - F.coalesce("told", F.lit(0))).alias("held"))
+
+
+VF_SUPPRESSED = f"""WITH {_VF}, seen AS (SELECT *, max(CASE WHEN sure THEN pos END) OVER p AS ly, max(CASE WHEN NOT sure THEN pos END) OVER p AS ln FROM vf WINDOW p AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+marked AS (SELECT *, sum(CASE WHEN ly IS NULL OR (ln > ly AND ln - ly > 40.0) THEN 1 ELSE 0 END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS island FROM seen WHERE sure),
+firsts AS (SELECT *, min(pos) OVER (PARTITION BY channel, island) AS begins FROM marked),
+spans AS (SELECT channel, island, min(CASE WHEN pos - begins >= 10 THEN pos END) AS start, max(pos) AS last FROM firsts GROUP BY ALL),
+closed AS (SELECT s.channel, s.start, coalesce((SELECT min(v.pos) FROM vf v WHERE v.channel = s.channel AND NOT v.sure AND v.pos > s.last AND v.pos - s.last > 40.0), (SELECT max(v.pos) FROM vf v WHERE v.channel = s.channel)) AS fin FROM spans s WHERE start IS NOT NULL),
+t AS (SELECT b.channel, EXISTS (SELECT 1 FROM closed c WHERE c.channel = b.channel AND b.pos >= c.start AND b.pos < c.fin) AS held FROM beats b)
+SELECT channel, count_if(NOT held)::BIGINT AS told, count_if(held)::BIGINT AS held FROM t GROUP BY channel"""
+
+
+def supraventricular_runs(spark, sf_dir):
+    """Runs that start with a sudden quickening and are held while they stay near their own mean."""
+    rr = _rr(spark, sf_dir).withColumn("fibrillating", F.lit(False))
+    return rhythm.sv_runs(rr, step=0.9, longest=60.0, even=0.9, band=0.9, grace=1, least=6)
 
 
 _ALL = (
     (rr_intervals, RR_INTERVALS), (pauses, PAUSES), (rate_conditions, RATE_CONDITIONS), (rhythm_episodes, RHYTHM_EPISODES), (ventricular_runs, VENTRICULAR_RUNS),
     (ventricular_tachycardia, VENTRICULAR_TACHYCARDIA), (idioventricular, IDIOVENTRICULAR), (alternation, ALTERNATION), (rr_irregularity, RR_IRREGULARITY),
     (af_state, AF_STATE), (af_sustained, AF_SUSTAINED), (af_fragmentation, AF_FRAGMENTATION), (sv_run_onsets, SV_RUN_ONSETS),
-    (sv_run_features, SV_RUN_FEATURES),
+    (sv_run_features, SV_RUN_FEATURES), (rr_trust, RR_TRUST), (rhythm_bank, RHYTHM_BANK), (vf_episodes, VF_EPISODES), (vf_suppressed, VF_SUPPRESSED), (supraventricular_runs, None),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}
-ORACLE_SQL = {f.__name__: sql for f, sql in _ALL}
+ORACLE_SQL = {f.__name__: sql for f, sql in _ALL if sql}

@@ -195,31 +195,41 @@ OWN_CORRELATION = f"WITH {_UNIT_SQL} SELECT vec_id, round(list_sum(list_transfor
 
 
 def nearest_centroid(spark, sf_dir):
-    """The label whose centroid correlates best; centroids are one row for each label and joined by their number."""
+    """The label whose centroid correlates best; centroids go to the workers in blocks of bounded size, one pass over the vectors for each."""
     u = _units(spark, sf_dir)
-    c = morphology.centroids(u, "label", 64).select(F.col("label").alias("to"), "centroid")
-    all_ = c.agg(F.sort_array(F.collect_list(F.struct("to", "centroid"))).alias("cs"))
-    r = u.join(F.broadcast(all_), F.lit(True))
-    best = F.array_max(F.transform("cs", lambda x: F.struct(F.round(morphology.ncc(F.col("u"), x["centroid"]), 6).alias("ncc"), (-x["to"]).alias("neg"))))
-    return r.select("vec_id", best.alias("b")).select("vec_id", (-F.col("b.neg")).alias("to"), "b.ncc")
+    return morphology.nearest(u, morphology.centroids(u, "label", 64), "label").select("vec_id", "to", "ncc")
 
 
 NEAREST_CENTROID = f"""WITH {_UNIT_SQL}, p AS (SELECT vec_id, cent.label AS "to", round(list_sum(list_transform(generate_series(1, 64), lambda i: u[i] * q[i])), 6) AS ncc FROM u, cent)
 SELECT vec_id, "to", ncc FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY ncc DESC, "to") = 1"""
 
 
-def cluster_summary(spark, sf_dir):
-    """Groups of line items by supplier: size, spread, exemplar, class counts."""
+def _clusters(spark, sf_dir):
+    """Groups of line items by supplier, in order: size, width (upper median of the last 16), spread, prematurity, scores, exemplar, class counts."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    q = F.col("l_quantity").cast("double")
-    return li.groupBy("l_suppkey").agg(
-        F.count("*").alias("n"), F.round(F.stddev_samp(q), 6).alias("sd"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_returnflag") == "A").alias("a"),
-        F.max_by("l_orderkey", F.struct(q, "l_orderkey")).alias("exemplar"),
+    li = li.select("l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("d"), F.col("l_tax").cast("double").alias("t"))
+    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_orderkey"), F.desc("l_linenumber"))
+    late = F.row_number().over(w) <= 16
+    last = lambda c: F.sort_array(F.collect_list(F.when(F.col("late"), F.col(c))))
+    mid = lambda c: F.get(c, F.floor(F.size(c) / 2).cast("int"))
+    g = li.withColumn("late", late).groupBy("l_suppkey").agg(
+        F.count("*").alias("n"), F.stddev_samp("q").alias("sd"), last("q").alias("qs"), last("d").alias("ds"), last("t").alias("ts"), *(F.count_if(F.col("l_returnflag") == k).alias(k.lower()) for k in "RA"),
+        F.max_by("l_orderkey", F.struct("q", "l_orderkey")).alias("exemplar"), F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"),
     )
+    return g.select("l_suppkey", "n", "sd", mid(F.col("qs")).alias("width"), mid(F.col("ds")).alias("prematurity"), mid(F.col("ts")).alias("score"), "r", "a", "exemplar", "first", "last")
+
+
+_CLUSTERS = """late AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC) <= 16 AS late FROM lineitem),
+g AS (SELECT l_suppkey, count(*) AS n, stddev_samp(l_quantity::DOUBLE) AS sd, list_sort(list(l_quantity::DOUBLE) FILTER (late)) AS qs, list_sort(list(l_discount::DOUBLE) FILTER (late)) AS ds, list_sort(list(l_tax::DOUBLE) FILTER (late)) AS ts,
+  count_if(l_returnflag = 'R')::BIGINT AS r, count_if(l_returnflag = 'A')::BIGINT AS a, arg_max(l_orderkey, {'a': l_quantity::DOUBLE, 'b': l_orderkey}) AS exemplar, min(l_orderkey) AS first, max(l_orderkey) AS last FROM late GROUP BY l_suppkey),
+clusters AS (SELECT *, qs[len(qs) // 2 + 1] AS width, ds[len(ds) // 2 + 1] AS prematurity, ts[len(ts) // 2 + 1] AS score FROM g)"""
 
 
-CLUSTER_SUMMARY = """SELECT l_suppkey, count(*) AS n, round(stddev_samp(l_quantity::DOUBLE), 6) AS sd, count_if(l_returnflag = 'R')::BIGINT AS r, count_if(l_returnflag = 'A')::BIGINT AS a,
-  arg_max(l_orderkey, {'a': l_quantity::DOUBLE, 'b': l_orderkey}) AS exemplar FROM lineitem GROUP BY l_suppkey"""
+def cluster_summary(spark, sf_dir):
+    return _clusters(spark, sf_dir).select("l_suppkey", "n", F.round("sd", 6).alias("sd"), *(F.round(c, 6).alias(c) for c in ("width", "prematurity", "score")), "r", "a", "exemplar", "first", "last")
+
+
+CLUSTER_SUMMARY = f"WITH {_CLUSTERS} SELECT l_suppkey, n, round(sd, 6) AS sd, round(width, 6) AS width, round(prematurity, 6) AS prematurity, round(score, 6) AS score, r, a, exemplar, first, last FROM clusters"
 
 
 def clusters_to_share(spark, sf_dir):
@@ -258,21 +268,50 @@ FROM g, (VALUES (0.2::DOUBLE), (0.24), (0.26), (0.3)) v(bar) GROUP BY bar"""
 
 
 def pacing_rule(spark, sf_dir):
-    """Large, even groups clearly apart from the narrowest."""
-    g = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.avg(F.col("l_quantity").cast("double")).alias("width"), F.stddev_samp(F.col("l_quantity").cast("double")).alias("sd"))
-    least = g.agg(F.min("width").alias("narrowest"))
-    rows = g.join(F.broadcast(least), F.lit(True))
-    return rows.where("n >= 32 AND sd <= 15 AND width >= narrowest + 1").select("l_suppkey", "n", F.round("width", 6).alias("width"))
+    """Large, wide, even groups that are not early and clearly apart from the narrowest large one; and their share of all."""
+    g = _clusters(spark, sf_dir)
+    least = g.agg(F.min(F.when(F.col("n") >= 32, F.col("width"))).alias("narrowest"), F.sum("n").alias("every"))  # one row
+    rows = g.join(F.broadcast(least), F.lit(True)).where("n >= 32 AND width >= 24 AND sd <= 15 AND prematurity >= 0.04 AND width >= narrowest + 2")
+    return rows.select("l_suppkey", "n", F.round("width", 6).alias("width"), F.round(F.col("n") / F.col("every"), 6).alias("share"))
+
+
+PACING_RULE = f"""WITH {_CLUSTERS} SELECT l_suppkey, n, round(width, 6) AS width, round(n / (SELECT sum(n) FROM clusters), 6) AS share FROM clusters
+WHERE n >= 32 AND width >= 24 AND sd <= 15 AND prematurity >= 0.04 AND width >= (SELECT min(width) FROM clusters WHERE n >= 32) + 2"""
+
+
+def rescored_verdicts(spark, sf_dir):
+    """Verdicts with a candidate model in place of one, at another temperature and bar, over stored features: nothing is detected again."""
+    s = _scores(spark, sf_dir)
+    candidate = scoring.sigmoid(scoring.linear({k: F.col(k) for k in _LINE}, {"q": 2.0, "d": -0.4, "t": 0.1}, -0.9) / 1.5)
+    return scoring.rescore(s, {"v": candidate}, [("V", "v", 0.5), ("F", "f", 0.5), ("S", "s", 0.48)], "N", F.col("l_linenumber") > 1).select("l_orderkey", "l_linenumber", "verdict")
+
+
+RESCORED_VERDICTS = f"""WITH {_scores_sql()}, c AS (SELECT l_orderkey, l_linenumber, 1 / (1 + exp(-((-0.9 + -0.4 * d + 2.0 * q + 0.1 * t) / 1.5))) AS v, s, f FROM scores),
+b AS (SELECT *, (v - 0.5) / 0.5 AS mv, (f - 0.5) / 0.5 AS mf, (s - 0.48) / 0.52 AS ms FROM c)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 1 THEN 'Unknown' WHEN mv >= 0 AND mv >= mf AND mv >= ms THEN 'V' WHEN mf >= 0 AND mf >= ms THEN 'F' WHEN ms >= 0 THEN 'S' ELSE 'N' END AS verdict FROM b"""
+
+
+def detection_confidence(spark, sf_dir):
+    """The published confidence model over line items in the place of detections."""
+    from ..functions import confidence
+
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    x = confidence.detection_terms(F.col("l_quantity").cast("double") / 5, F.col("l_returnflag") == "R", F.col("l_discount").cast("double") * 10, F.col("l_linestatus") == "F", F.col("l_tax").cast("double") * 25)
+    z = sum((F.lit(w) * v for w, v in zip(confidence.DETECTION[1:], x, strict=True)), F.lit(confidence.DETECTION[0]))
+    return li.select("l_orderkey", "l_linenumber", F.round(scoring.sigmoid(z), 6).alias("confidence"))
 
 
-PACING_RULE = """WITH g AS (SELECT l_suppkey, count(*) AS n, avg(l_quantity::DOUBLE) AS width, stddev_samp(l_quantity::DOUBLE) AS sd FROM lineitem GROUP BY 1)
-SELECT l_suppkey, n, round(width, 6) AS width FROM g WHERE n >= 32 AND sd <= 15 AND width >= (SELECT min(width) FROM g) + 1"""
+DETECTION_CONFIDENCE = """WITH t AS (SELECT l_orderkey, l_linenumber, ln(least(greatest(l_quantity::DOUBLE / 5, 0.05), 50)) AS m, (l_returnflag = 'R')::INT AS r, least(greatest(l_discount::DOUBLE * 10, 0), 1) AS q, (l_linestatus = 'F')::INT AS u,
+  ln(least(greatest(l_tax::DOUBLE * 25, 0.1), 4)) AS i FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(0.167814::DOUBLE + 0.947158::DOUBLE * m - 0.382409::DOUBLE * m * m + 0.344810::DOUBLE * r - 0.389818::DOUBLE * q + 0.473048::DOUBLE * u + 0.369443::DOUBLE * i - 1.812427::DOUBLE * i * i
+  + 1.568032::DOUBLE * q * q + 1.520297::DOUBLE * m * q))), 6) AS confidence FROM t"""
 
 _ALL = (
     (packet_verdicts, PACKET_VERDICTS), (packet_statistics, PACKET_STATISTICS), (refused_packets, REFUSED_PACKETS), (shard_statistics, SHARD_STATISTICS), (tumbling_windows, TUMBLING_WINDOWS),
     (sliding_windows, SLIDING_WINDOWS), (session_windows, SESSION_WINDOWS), (latest_status, LATEST_STATUS), (event_records, _records_sql()), (logistic_scores, LOGISTIC_SCORES),
     (calibrated_classes, CALIBRATED_CLASSES), (arbitration, ARBITRATION), (tree_scores, TREE_SCORES), (own_correlation, OWN_CORRELATION), (nearest_centroid, NEAREST_CENTROID),
     (cluster_summary, CLUSTER_SUMMARY), (clusters_to_share, CLUSTERS_TO_SHARE), (ranked_queue, RANKED_QUEUE), (review_bars, REVIEW_BARS), (pacing_rule, PACING_RULE),
+    (rescored_verdicts, RESCORED_VERDICTS), (detection_confidence, DETECTION_CONFIDENCE),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLE_SQL = {f.__name__: sql for f, sql in _ALL if sql}
