@@ -13,7 +13,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNKS = "record string, lead int, chunk_idx long, fs double, samples array<int>"
+CHUNKS = "record string, lead int, chunk_idx long, first_sample long, fs double, samples array<int>"
+ARCHIVE = "record string, n_samples long, n_leads int, fs double, n_chunks long"
 
 
 def decode_blosc(data: bytes) -> bytes:
@@ -75,20 +76,41 @@ class ChunkedArray:
         return np.frombuffer(data, "<i4").reshape(-1, self.leads)[:size]
 
 
+def _archives(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select("path", "content")
+
+
+def _record(path: str) -> str:
+    return path.rsplit("/", 1)[-1].split(".")[0]
+
+
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Shape and rate of each archive; no chunk is decoded."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(_record(p), a.samples, a.leads, a.fs, len(a)) for p, c in zip(pdf["path"], pdf["content"], strict=True) for a in [ChunkedArray(bytes(c))]]
+            yield pd.DataFrame(found, columns=["record", "n_samples", "n_leads", "fs", "n_chunks"]).astype({"n_leads": "int32"})
+
+    return _archives(spark, folder).mapInPandas(each, ARCHIVE)
+
+
 def read_arrays(spark: SparkSession, folder: str, lead: int | None = None, start: int = 0, stop: int | None = None) -> DataFrame:
-    """Chunks that hold samples of [start, stop), of one lead or all; others are not decoded."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
+    """Samples [start, stop) of one lead or all, chunk by chunk; other chunks are not decoded, the first and last are cut to the range.
+
+    The binary file source hands an archive to one task whole; chunks leave it one at a time.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 a = ChunkedArray(bytes(content))
-                last = len(a) if stop is None else min(len(a), -(-stop // a.rows))
-                rows = []
-                for k in range(start // a.rows, last):
-                    x = a.chunk(k)
-                    rows += [(path.rsplit("/", 1)[-1].split(".")[0], j, k, a.fs, x[:, j]) for j in range(a.leads) if lead is None or j == lead]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["record", "lead", "chunk_idx", "fs", "samples"]).astype({"lead": "int32"})
-
-    return files.select("path", "content").mapInPandas(each, CHUNKS)
+                end = a.samples if stop is None else min(stop, a.samples)
+                for k in range(start // a.rows, -(-end // a.rows)):
+                    lo, hi = max(start, k * a.rows), min(end, (k + 1) * a.rows)
+                    x = a.chunk(k)[lo - k * a.rows : hi - k * a.rows]
+                    rows = [(_record(path), j, k, lo, a.fs, x[:, j]) for j in range(a.leads) if lead is None or j == lead]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["record", "lead", "chunk_idx", "first_sample", "fs", "samples"]).astype({"lead": "int32"})
+
+    return _archives(spark, folder).mapInPandas(each, CHUNKS)

@@ -16,9 +16,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("r.*", "extra").where("n_samples > 0 AND n_leads > 0")
 
 
-def select_records(records: DataFrame, zone: str | None = None, source: str | None = None, every: int | None = None, offset: int = 0, by_source: bool = False, limit: int | None = None) -> DataFrame:
-    """Filter, order by source and record, keep every n-th if asked, and the first ``limit``. ALL or nothing asked is any."""
-    for name, value in (("zone", zone), ("source", source)):
+def select_records(records: DataFrame, zone: str | None = None, source: str | None = None, record: str | None = None, every: int | None = None, offset: int = 0, by_source: bool = False, limit: int | None = None) -> DataFrame:
+    """Filter, order by source and record, keep every n-th if asked, and the first ``limit``. ALL or nothing asked is any.
+
+    A manifest is a row for each record, so numbering all of it is one task's work; by source it is one for each.
+    """
+    for name, value in (("zone", zone), ("source", source), ("record", record)):
         if value not in (None, "ALL"):
             records = records.where(F.col(name) == value)
     if every:
@@ -28,6 +31,21 @@ def select_records(records: DataFrame, zone: str | None = None, source: str | No
     return records.limit(limit) if limit is not None else records
 
 
+def build_manifest(splits: DataFrame, stats: DataFrame, archives: DataFrame) -> DataFrame:
+    """Records of a split with their statistics, where there are any, and what their archives say of shape and rate.
+
+    ``usable`` is whether there is an archive with samples and a label was made.
+    """
+    rows = splits.join(stats, "record_uid", "left").join(archives.withColumnRenamed("record", "record_uid"), "record_uid", "left")
+    return rows.withColumn("usable", F.coalesce((F.col("n_samples") > 0) & F.col("has_beats"), F.lit(False)))
+
+
+def data_root(spark: SparkSession, kind: str, given: str | None = None) -> str:
+    """Where data of a kind lies: as given, else as the session's ``vitalstream.data.<kind>`` says, else the folder beside the warehouse."""
+    found = given or spark.conf.get(f"vitalstream.data.{kind}", None)
+    return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../{kind}"
+
+
 def read_reviewed_beats(spark: SparkSession, path: str) -> DataFrame:
     cols = spark.read.parquet(path).select("sample", "symbol_native", "symbol_auto", F.coalesce("qf_valid", F.lit(False)).alias("qf_valid"), F.coalesce("reviewed", F.lit(False)).alias("reviewed"))
     known = lambda c: F.when(F.col(c).isin("N", "S", "V"), F.col(c)).alias(c)

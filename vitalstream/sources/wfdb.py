@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER = "record string, fs double, n_samples long, lead int, file_name string, format int, gain double, baseline long, units string, adc_zero long, description string, n_leads int"
-SIGNAL = "record string, lead int, chunk_idx long, fs double, samples array<float>"
-ANNOTATION = "record string, sample long, code int, symbol string, subtype int, chan int, num int, aux string"
+HEADER = "folder string, record string, fs double, n_samples long, lead int, file_name string, format int, gain double, baseline long, units string, adc_zero long, description string, n_leads int"
+SIGNAL = "folder string, record string, lead int, chunk_idx long, first_sample long, fs double, samples array<float>"
+ANNOTATION = "folder string, record string, sample long, code int, symbol string, subtype int, chan int, num int, aux string"
 
 # The annotation codes of the format and their symbols; which symbols are beats.
-SYMBOLS = dict(enumerate(" NLRaVFJASEj/Q~ | sT*D\"=pB^t+u?![]en@xf()r"))
+SYMBOLS = {k: c for k, c in enumerate(" NLRaVFJASEj/Q~ | sT*D\"=pB^t+u?![]en@xf()r") if k == 0 or c != " "}
 BEAT_SYMBOLS = frozenset("NLRBAaJSVrFejnE/fQ?")
 UNIT_TO_MV = {"": 1.0, "mv": 1.0, "uv": 1e-3, "µv": 1e-3, "μv": 1e-3, "v": 1e3}
 
@@ -85,11 +85,12 @@ def unpack(data: bytes, form: int) -> np.ndarray:
     raise ValueError(f"format {form} is not read")
 
 
-def decode_lead(data: bytes, spec: dict) -> np.ndarray:
-    stored = unpack(data, spec["format"])
+def decode_lead(stored: np.ndarray, spec: dict, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Millivolts of one lead of the unpacked, interleaved samples, within [start, stop)."""
     lead = stored[spec["lead"] :: spec["n_leads"]]
     if spec["n_samples"]:
         lead = lead[: spec["n_samples"]]
+    lead = lead[start:stop]
     return ((lead - spec["baseline"]) * (to_millivolts(spec["units"]) / spec["gain"])).astype(np.float32)
 
 
@@ -127,45 +128,61 @@ def parse_annotations(data: bytes) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
-def read_headers(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hea").load(folder)
+def _files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """folder, name and content of the files below a folder. Databases in one tree may share record names: a record is its folder and name."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
+
 
+def read_headers(spark: SparkSession, folder: str) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [spec for content in pdf["content"] for spec in parse_header(bytes(content).decode("latin-1"))]
+            rows = [{"folder": at, **spec} for at, content in zip(pdf["folder"], pdf["content"], strict=True) for spec in parse_header(bytes(content).decode("latin-1"))]
             if rows:
                 yield pd.DataFrame(rows)
 
-    return files.select("content").mapInPandas(each, HEADER)
+    return _files(spark, folder, "*.hea").select("folder", "content").mapInPandas(each, HEADER)
+
 
+def read_signals(spark: SparkSession, folder: str, leads: list[int] | None = None, start: int = 0, stop: int | None = None, chunk: int = 15_000) -> DataFrame:
+    """Samples [start, stop) of the leads asked for, in chunks of ``chunk``. Headers of other leads are dropped before a file is read.
 
-def read_signals(spark: SparkSession, folder: str, leads: list[int] | None = None, chunk: int = 15_000) -> DataFrame:
-    """Signals in chunks of ``chunk`` samples. Headers of other leads are dropped before a file is decoded."""
+    A file meets all its leads at once, so its bytes cross the shuffle once.
+    A signal that is split over several files is refused.
+    """
     heads = read_headers(spark, folder)
+    files_of = heads.groupBy("folder", "record").agg(F.countDistinct("file_name").alias("files"))
     heads = heads.where(F.col("lead").isin(leads)) if leads is not None else heads
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dat").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
+    heads = heads.join(files_of, ["folder", "record"])
+    heads = heads.withColumn("file_name", F.when(F.col("files") > 1, F.raise_error(F.concat("record", F.lit(" is split over files")))).otherwise(F.col("file_name")))
+    spec = F.struct("record", "fs", "n_samples", "lead", "format", "gain", "baseline", "units", "n_leads")
+    specs = heads.groupBy("folder", F.col("file_name").alias("name")).agg(F.collect_list(spec).alias("specs"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for spec in pdf.to_dict("records"):
-                x = decode_lead(bytes(spec["content"]), spec)
-                n = max(1, -(-len(x) // chunk))
-                yield pd.DataFrame({"record": spec["record"], "lead": np.int32(spec["lead"]), "chunk_idx": np.arange(n), "fs": spec["fs"], "samples": [x[k * chunk : (k + 1) * chunk] for k in range(n)]})
+            for at, specs, content in zip(pdf["folder"], pdf["specs"], pdf["content"], strict=True):
+                stored = unpack(bytes(content), specs[0]["format"])
+                for one in specs:
+                    x = decode_lead(stored, one, start, stop)
+                    n = max(1, -(-len(x) // chunk))
+                    k = np.arange(n)
+                    yield pd.DataFrame({
+                        "folder": at, "record": one["record"], "lead": np.int32(one["lead"]), "chunk_idx": k, "first_sample": start + k * chunk, "fs": one["fs"], "samples": [x[i * chunk : (i + 1) * chunk] for i in range(n)],
+                    })
 
-    return heads.join(files, "file_name").mapInPandas(each, SIGNAL)
+    return specs.join(_files(spark, folder, "*.dat"), ["folder", "name"]).mapInPandas(each, SIGNAL)
 
 
 def read_annotations(spark: SparkSession, folder: str, extension: str = "atr") -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").load(folder)
-    files = files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("record"), "content")
+    files = _files(spark, folder, f"*.{extension}").select("folder", F.regexp_extract("name", r"^(.+)\.[^.]+$", 1).alias("record"), "content")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["sample", "code", "symbol", "subtype", "chan", "num", "aux"]
         for pdf in batches:
-            for record, content in zip(pdf["record"], pdf["content"], strict=True):
+            for at, record, content in zip(pdf["folder"], pdf["record"], pdf["content"], strict=True):
                 made = pd.DataFrame(parse_annotations(bytes(content)), columns=names)
                 made.insert(0, "record", record)
+                made.insert(0, "folder", at)
                 yield made
 
     return files.mapInPandas(each, ANNOTATION)
