@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 
 from vitalstream.llm import simhash
@@ -137,7 +138,9 @@ def brute_similar(rows, similarity=0.8):
     return {i: find(i) for i in sets}, near
 
 
-def test_similar_documents_equal_exact_jaccard(spark):
+@pytest.mark.parametrize("shard", [512, 2])
+def test_similar_documents_equal_exact_jaccard(spark, monkeypatch, shard):
+    monkeypatch.setattr(simhash, "SHARD", shard)  # groups over it meet in pairs of shards
     rows = list(enumerate(planted()))
     want, near = brute_similar(rows)
     fps = {i: brute_fingerprint(t, 5) for i, t in rows}
@@ -161,3 +164,19 @@ def test_pipeline_stage_drops_copies_at_jaccard_0_8(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()}
     assert kept == {i for i, c in brute_similar(rows)[0].items() if i == c}
+
+
+def test_very_long_texts(spark):
+    """Past the 65,536 shingles that are counted at once, and with one word changed."""
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(70_000)]
+    other = list(words)
+    other[100] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(reversed(words)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.fp for r in simhash.fingerprints(df).collect()}
+    for i, t in rows[:1]:
+        parts = t.split()
+        hashes = [simhash.xxhash.xxh64_intdigest(" ".join(parts[k : k + 3]).encode(), 42) for k in range(len(parts) - 2)]
+        assert got[i] & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == {1: 1, 2: 1, 3: 3}

@@ -31,6 +31,8 @@ RADIUS = 2
 #: similar_documents(): BANDS bands of ROWS min-hashes; two documents at Jaccard 0.8 share one with probability 0.9996.
 BANDS, ROWS = 20, 5
 FLIP, FACTOR = np.random.default_rng(17).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: similar_documents(): members of a candidate group that one shard holds; larger groups are split into pairs of shards.
+SHARD = 512
 #: Slots of texts: a filter of at most so many numbers is broadcast.
 SLOTS = 1 << 20
 #: (shift, bits) of the blocks of a fingerprint, and of the finer ones of hot shards.
@@ -242,8 +244,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     form a coarse group, and within one all pairs are decided by exact Jaccard.
 
     Documents of equal shingle sets are one class and are compared once; only
-    the texts of classes that share a key are shuffled. A coarse group is one
-    task's work. Texts without words are equal. A repeated doc_id is judged row
+    the texts of classes that share a key are shuffled. A coarse group over SHARD
+    members is split into shards, and each pair of shards is a task's work, so
+    no task holds more than two shards, and no pair of members is left out. Texts
+    of any length are read whole. Texts without words are equal. A repeated doc_id is judged row
     by row; a null doc_id stays and is nobody's representative.
     """
 
@@ -265,14 +269,14 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             first = similar_groups(sets, similarity)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([ids[x] for x in first], pa.int64())], names=["id", "group"])
 
-        coarse, ids, sets = None, [], []
+        part, ids, sets = None, [], []
         for batch in batches:
-            for group, key, text in zip(*(batch.column(c).to_pylist() for c in ("coarse", "id")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if group != coarse:
+            for *key, one, text in zip(*(batch.column(c).to_pylist() for c in ("coarse", "i", "j", "id")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if key != part:
                     if ids:
                         yield said()
-                    coarse, ids, sets = group, [], []
-                ids.append(key)
+                    part, ids, sets = key, [], []
+                ids.append(one)
                 sets.append(np.unique(shingles(text or b"", words)))
         if ids:
             yield said()
@@ -288,8 +292,16 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     # of the texts, only those in a slot of a wanted one are shuffled: SLOTS numbers at most
     slot = lambda: F.pmod("t", F.lit(SLOTS)).alias("slot")
     texts = base.select("t", "text", slot()).join(F.broadcast(wanted.select(slot()).distinct()), "slot", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-    ordered = texts.join(wanted, "t").select("coarse", "id", "text").repartition(partitions(docs.sparkSession), "coarse").sortWithinPartitions("coarse", "id")
+    sizes = wanted.groupBy("coarse").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    split = not sizes.where("shards > 1").isEmpty()
+    dealt = texts.join(wanted, "t").join(sizes, "coarse").withColumn("own", F.pmod(F.hash("id"), F.col("shards")))
+    # shard i meets shards j >= i, in task (i, j)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    dealt = dealt.select("coarse", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "text")
+    ordered = dealt.repartition(partitions(docs.sparkSession), "coarse", "i", "j").sortWithinPartitions("coarse", "i", "j", "id")
     groups = stored(ordered.mapInArrow(decide, "id long, group long"))
+    if split:  # what pairs of shards joined is put together
+        groups = components(groups.select(F.col("id").alias("a"), F.col("group").alias("b"))).withColumnRenamed("component_id", "group")
     named = classes.select("id", "first").join(groups, "id", "left").select("id", "first", F.coalesce("group", "id").alias("group"))
     least = named.groupBy("group").agg(F.min("first").alias("component_id"))
     by_id = named.join(least, "group").select(F.col("id").alias("i"), "component_id")
