@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -140,8 +141,27 @@ def leaf_blocks(source: str) -> list[Block]:
     return out
 
 
+# Names that pages give their parts; the generator draws from them.
+OTHER_NAMES = {
+    "nav": "nav navbar menu navigation topnav mainmenu breadcrumb breadcrumbs crumbs toc pagination pager skip links sitemap language",
+    "header": "header masthead banner top topbar branding logo site tagline hero",
+    "footer": "footer bottom copyright legal colophon imprint credits",
+    "aside": "sidebar aside related recommended recommendations popular trending widget widgets more also teaser rail",
+    "ad": "ad ads adv advert advertisement advertising sponsor sponsored promo promotion promoted commercial adsense dfp banner",
+    "notice": "notice cookie cookies consent gdpr privacy alert warning popup modal overlay announcement paywall disclaimer message",
+    "form": "form newsletter subscribe subscription signup login search searchbox contact poll survey",
+    "comments": "comments comment commentlist replies reply respond discussion disqus feedback reader responses thread",
+    "share": "share sharing social follow buttons toolbar tags meta byline author date",
+}
+MAIN_NAMES = "content post entry article story main body text page primary maincontent articlebody postbody single copy wrapper container".split()
+PLAIN_NAMES = "row col inner box block section lead intro wide left right clearfix group item grid center".split()
+#: The kinds of part that a name is used for: names seldom seen in training share the weight of their kind.
+KIND_OF = {name: [k for k, names in OTHER_NAMES.items() if name in names.split()] for names in OTHER_NAMES.values() for name in names.split()}
+
+
 def _element(tag: str, names: tuple[str, ...]) -> list[str]:
-    return [f"in={tag}", *(f"name={x}" for x in names)]
+    kinds = {k for x in names for k in KIND_OF.get(x, ())}
+    return [f"in={tag}", *(f"name={x}" for x in names), *(f"kind={k}" for k in sorted(kinds)), *(["other"] if kinds and not any(x in MAIN_NAMES for x in names) else [])]
 
 
 def _text_features(block: Block) -> list[str]:
@@ -242,22 +262,6 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 250, rate:
     return ChainField({f: float(theta[i]) for f, i in index.items() if abs(theta[i]) > 1e-4}, theta[-4:].reshape(2, 2).copy())
 
 
-# Names that pages give their parts; the generator draws from them.
-OTHER_NAMES = {
-    "nav": "nav navbar menu navigation topnav mainmenu breadcrumb breadcrumbs crumbs toc pagination pager skip links sitemap language",
-    "header": "header masthead banner top topbar branding logo site tagline hero",
-    "footer": "footer bottom copyright legal colophon imprint credits",
-    "aside": "sidebar aside related recommended recommendations popular trending widget widgets more also teaser rail",
-    "ad": "ad ads adv advert advertisement advertising sponsor sponsored promo promotion promoted commercial adsense dfp banner",
-    "notice": "notice cookie cookies consent gdpr privacy alert warning popup modal overlay announcement paywall disclaimer message",
-    "form": "form newsletter subscribe subscription signup login search searchbox contact poll survey",
-    "comments": "comments comment commentlist replies reply respond discussion disqus feedback reader responses thread",
-    "share": "share sharing social follow buttons toolbar tags meta byline author date",
-}
-MAIN_NAMES = "content post entry article story main body text page primary maincontent articlebody postbody single copy wrapper container".split()
-PLAIN_NAMES = "row col inner box block section lead intro wide left right clearfix group item grid center".split()
-
-
 class PageWriter:
     """Writes pages whose blocks are labelled, for training and for tests."""
 
@@ -361,7 +365,9 @@ class PageWriter:
         return blocks, labels
 
 
+@lru_cache(maxsize=4)
 def default_field(pages: int = 500, seed: int = 3) -> ChainField:
+    """Trained once in a process."""
     writer = PageWriter(seed)
     return train([p for p in (writer.labelled() for _ in range(pages)) if p[0]])
 
