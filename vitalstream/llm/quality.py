@@ -201,6 +201,12 @@ def score(docs: DataFrame, model: RuleModel, carry: tuple[str, ...] = ("doc_id",
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``."""
+    """(doc_id, held_out, score, predicted) of every row of ``docs``.
+
+    Repeated rows are scored each, null and empty texts as an empty text, texts
+    of any length whole; a null doc_id has a null held_out. Without labels, or
+    with labels of one kind, all scores are equal; an empty table gives an empty
+    result. Labelled rows that tie in the sample's order are equal in id and label.
+    """
     scored = score(docs, learn(docs, labels, rows))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
