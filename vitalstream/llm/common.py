@@ -25,17 +25,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that
-    lineage ends there and a lost executor does not recompute what is above.
-
-    The folder is the one the session names in spark.checkpoint.dir; only a
-    session without one (a local test) gets a temporary folder.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, made known to the context. Only a local session without one gets a temporary folder."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines see")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that lineage ends there and a lost executor does not recompute what is above."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -87,16 +90,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.unionByName(roots).groupBy(F.col("u").alias("id")).agg(F.min("component_id").alias("component_id"))
 
 
+#: Paths of stored tables of this process that are still there.
+STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder, for results too large to keep uncompressed."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in the shared folder, for results too large to keep uncompressed."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, since: int) -> None:
+    """Remove stored tables from the ``since``-th on but the last, which the others made: nothing may read them any more."""
+    for path in STORED[since:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del STORED[since:-1]
+
+
 def heavy_keys(counts: DataFrame, keys: list[str]) -> DataFrame | None:
     """Keys of ``counts`` (keys, n) that hold over a 2P-th of all rows, for P shuffle partitions, or None where there are none.
 
