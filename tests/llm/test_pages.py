@@ -47,6 +47,7 @@ def test_rows(spark):
 
 
 # Pages written by hand, unlike those of the generator: without an article element, with adverts, forms and comments inside.
+# STORY and TABLE were misread at first and led to features by kind of part, so they guard these and measure nothing.
 NEWS = """<html><body><div id="top-bar"><a href="/">Home</a> <a href="/x">World</a> <a href="/y">Sport</a></div><div class="wrapper"><div class="post-content"><h1>River levels fall after a dry spring</h1><p class="byline">By Ann Lee</p><p>The river that runs through the old town has fallen to its lowest level in twenty years, the water board said on Monday.</p><p>Farmers along its banks have been asked to take less water until the autumn rains arrive.</p><blockquote>We have not seen it this low since I was a child, one of them said.</blockquote><p>The board will meet again next week.</p></div><div class="sidebar"><h3>Most read</h3><ul><li><a href="/1">Ten ways to save water at home</a></li><li><a href="/2">Town hall to be sold</a></li></ul></div></div><div class="share-buttons"><a href="#">Share</a><a href="#">Tweet</a></div><div id="footer"><p>Copyright 2021 The Town Paper. All rights reserved.</p></div></body></html>"""
 STORY = """<html><body><header><nav><a href="/">Start</a><a href="/a">Archive</a></nav></header><main><section class="story"><h2>A new bridge for the valley</h2><p>Work on the bridge is to begin in March and will take two years, engineers told the council.</p><p>It will carry two lanes and a path for bicycles, and replaces a ferry that has crossed here since 1890.</p><div class="advertisement"><p>Book your holiday today and save!</p></div><p>The cost is put at nine million.</p></section><section id="comments"><h3>Comments</h3><div class="comment"><p>Great news, we have waited long enough for this bridge.</p></div><div class="comment"><p>And who is going to pay for it all?</p></div></section></main><footer><p>Contact us | Imprint</p></footer></body></html>"""
 TABLE = """<html><body><table><tr><td class="menu"><a href="/">Index</a><br><a href="/n">News</a></td><td class="text"><h1>Notes on sourdough</h1><p>Flour and water are left in a warm place until they begin to bubble, which takes about five days.</p><p>Feed the mixture every day with as much flour as it weighs.</p></td></tr></table><p class="legal">This site uses cookies. <a href="/p">Privacy policy</a></p></body></html>"""
@@ -72,7 +73,7 @@ It has kept good time since.""",
 }
 
 
-def test_pages_unlike_those_it_learnt_from():
+def test_hand_written_pages_stay_right():
     assert [pages.main_text(p, FIELD) for p in WANT] == list(WANT.values())
 
 
