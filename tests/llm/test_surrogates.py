@@ -114,3 +114,11 @@ def test_empty_table_and_native_plan(spark):
     assert surrogates.replace_entities(docs).count() == 0
     plan = surrogates.replace_entities(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_mention_that_no_kind_owns_stays_in_its_text(spark, monkeypatch):
+    original = surrogates.kind_of
+    monkeypatch.setattr(surrogates, "kind_of", lambda surface: F.when(surface.startswith("10."), "other").otherwise(original(surface)))
+    text = {r.doc_id: r.text for r in replaced(spark, [(1, "from 10.1.2.3 to a.b@example.org, end"), (2, "10.1.2.3")])}
+    one = re.fullmatch(r"from (\d\d\.\d\.\d\.\d) to [a-z]\.[a-z]@[a-z]{7}\.org, end", text[1])
+    assert one and text[2] == one[1] != "10.1.2.3"

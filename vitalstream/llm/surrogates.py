@@ -70,7 +70,7 @@ def mentions(text: Column) -> Column:
 
 
 def kind_of(surface: Column) -> Column:
-    out = F.lit(None).cast("string")
+    out = F.lit("other")  # a mention without a kind would be lost from the text
     for kind, pattern in reversed([("email", _EMAIL), *PATTERNS]):
         out = F.when(surface.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
     return out
