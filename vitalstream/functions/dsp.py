@@ -230,6 +230,14 @@ class FilterBank:
         self.parts, made = _design(cfg, mains)
         self.bank = copy(made)  # the matrices are shared, the state is not
 
+    def __getstate__(self) -> dict:
+        """Settings and the filters' state: the matrices are made again, so that a channel's stored state is small."""
+        return {"cfg": self.cfg, "mains": self.mains, "state": self.bank.state}
+
+    def __setstate__(self, kept: dict) -> None:
+        self.__init__(kept["cfg"], kept["mains"])
+        self.bank.state = kept["state"]
+
     def reset(self) -> None:
         self.bank.reset()
 

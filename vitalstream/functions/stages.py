@@ -86,15 +86,43 @@ def _bank(cfg: ChannelConfig, events_only: bool = False):
     return partial(rhythm.bank, p=p) if not events_only else lambda rr: rhythm.bank(rr, p).where("kind IN ('pause', 'asystole')")
 
 
+# Named functions, so that a stage in a channel's stored state is a name.
+def _slope(cfg: ChannelConfig, delay: float = 0.0) -> Detector:
+    return Detector(cfg, delay)
+
+
+def _eager(cfg: ChannelConfig, delay: float = 0.0) -> Detector:
+    return Detector(cfg.override(search_back=1.4), delay)
+
+
+def _published(cfg: ChannelConfig) -> AfStage:
+    return irregular.probability
+
+
+def _never(cfg: ChannelConfig) -> AfStage:
+    return _no_af
+
+
+def _no_af(features: dict[str, np.ndarray]) -> np.ndarray:
+    return np.zeros(len(next(iter(features.values()))))
+
+
+def _windows(cfg: ChannelConfig) -> VfStage:
+    return fibrillation.Windows(cfg.fs)
+
+
+def _no_runs(cfg: ChannelConfig) -> NoRuns:
+    return NoRuns()
+
+
+def _pauses(cfg: ChannelConfig) -> RhythmStage:
+    return _bank(cfg, True)
+
+
 REGISTRY = Registry()
 _ADD: list[tuple[str, str, Callable]] = [
-    ("quality", "window", Monitor), ("quality", "steady", SteadyQuality),
-    ("qrs", "slope", lambda cfg, delay=0.0: Detector(cfg, delay)), ("qrs", "eager", lambda cfg, delay=0.0: Detector(cfg.override(search_back=1.4), delay)),
-    ("beat", "template", Analyzer),
-    ("af", "published", lambda cfg: irregular.probability), ("af", "never", lambda cfg: lambda f: np.zeros(len(next(iter(f.values()))))),
-    ("vf", "window", lambda cfg: fibrillation.Windows(cfg.fs)),
-    ("sv_run", "quickening", _sv_runs), ("sv_run", "never", lambda cfg: NoRuns()),
-    ("rhythm", "bank", _bank), ("rhythm", "pauses", lambda cfg: _bank(cfg, True)),
+    ("quality", "window", Monitor), ("quality", "steady", SteadyQuality), ("qrs", "slope", _slope), ("qrs", "eager", _eager), ("beat", "template", Analyzer), ("af", "published", _published), ("af", "never", _never),
+    ("vf", "window", _windows), ("sv_run", "quickening", _sv_runs), ("sv_run", "never", _no_runs), ("rhythm", "bank", _bank), ("rhythm", "pauses", _pauses),
 ]
 for kind, variant, make in _ADD:
     REGISTRY.add(kind, variant, 1, make)

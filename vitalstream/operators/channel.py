@@ -7,6 +7,7 @@ counted and left out, never put back in order. Lost packets move the clock on.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +65,15 @@ class Feed:
         return out
 
 
+def keep(feed: Feed | None) -> bytes:
+    """A channel's state as it is stored: packed, since the package travels with it."""
+    return zlib.compress(cloudpickle.dumps(feed), 1)
+
+
+def recall(kept: bytes) -> Feed | None:
+    return cloudpickle.loads(zlib.decompress(kept))
+
+
 def _batch(channel: int, events: list[Event]) -> pa.RecordBatch:
     kinds, samples, values, vectors = zip(*events, strict=True) if events else ((),) * 4
     types = pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())
@@ -114,7 +124,7 @@ def stream_events(packets: DataFrame, cfg: ChannelConfig = CLINICAL, idle_ms: in
         return _batch(channel, events).to_pandas().astype({"kind": object, "values": object, "vector": object})
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        feed = cloudpickle.loads(state.get[0]) if state.exists else Feed(cfg)
+        feed = recall(state.get[0]) if state.exists else Feed(cfg)
         if state.hasTimedOut:
             state.remove()
             if feed is not None:
@@ -129,7 +139,7 @@ def stream_events(packets: DataFrame, cfg: ChannelConfig = CLINICAL, idle_ms: in
                 events = feed.take(rows["sequence"].to_numpy(), np.concatenate(samples), edges)
             except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError):
                 events, feed = [("poisoned", feed.kernel.n, [], None)], None
-        state.update((cloudpickle.dumps(feed),))
+        state.update((keep(feed),))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
         yield framed(key[0], events)
