@@ -6,8 +6,10 @@ buckets as wide as the tolerance and the join is an equi-join on key and bucket.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,38 +31,80 @@ def mutual_nearest(pairs: DataFrame, key: str = "channel") -> DataFrame:
     return pairs.withColumn("a", F.row_number().over(a)).withColumn("b", F.row_number().over(b)).where("a = 1 AND b = 1").drop("a", "b")
 
 
+class Pairing:
+    """Two pointers over references and detections of one channel that come in order of position; holds only what is within reach."""
+
+    def __init__(self, tolerance: float, yields: bool) -> None:
+        self.tolerance, self.yields, self.refs, self.dets, self.out = tolerance, yields, deque(), deque(), []
+
+    def push(self, is_ref: bool, pos: float, name: int) -> None:
+        (self.refs if is_ref else self.dets).append((pos, name))
+        self._settle(pos)
+
+    def _settle(self, now: float) -> None:
+        """Decide what nothing from ``now`` on can change."""
+        refs, dets, reach = self.refs, self.dets, self.tolerance
+        while refs or dets:
+            if not refs:
+                if dets[0][0] + reach >= now:
+                    return
+                self.out.append((None, dets.popleft()[1], None))
+            elif not dets:
+                if refs[0][0] + reach >= now:
+                    return
+                self.out.append((refs.popleft()[1], None, None))
+            else:
+                gap = dets[0][0] - refs[0][0]
+                if gap < -reach:
+                    self.out.append((None, dets.popleft()[1], None))
+                elif gap > reach:
+                    self.out.append((refs.popleft()[1], None, None))
+                elif len(dets) < 2 and self.yields and refs[0][0] + reach >= now:
+                    return  # the next detection may be closer
+                elif self.yields and len(dets) > 1 and abs(dets[1][0] - refs[0][0]) < abs(gap):
+                    self.out.append((None, dets.popleft()[1], None))
+                else:
+                    self.out.append((refs.popleft()[1], dets.popleft()[1], gap))
+
+    def taken(self) -> list[tuple]:
+        found, self.out = self.out, []
+        return found
+
+    def finish(self) -> list[tuple]:
+        self._settle(float("inf"))
+        return self.taken()
+
+
 def greedy_match(reference: DataFrame, detected: DataFrame, tolerance: float, key: str = "channel", yields: bool = True) -> DataFrame:
     """One-to-one matches in time order, (key, l_id, r_id, offset); an unmatched side has a null id.
 
     Two pointers walk both sides; with ``yields`` a detection gives way to the
-    next one if that is strictly closer. One channel is one group, as the walk is sequential.
+    next one if that is strictly closer. Both sides of a channel come as one
+    stream in order of position, batch by batch, and only what is within the
+    tolerance is held.
     """
 
-    def walk(k, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(["pos", "id"]), b.sort_values(["pos", "id"])
-        ra, rb, out, i, j = list(zip(a.pos, a.id, strict=True)), list(zip(b.pos, b.id, strict=True)), [], 0, 0
-        while i < len(ra) and j < len(rb):
-            gap = rb[j][0] - ra[i][0]
-            if abs(gap) <= tolerance:
-                if yields and j + 1 < len(rb) and abs(rb[j + 1][0] - ra[i][0]) < abs(gap):
-                    out.append((None, rb[j][1], None))
-                    j += 1
-                    continue
-                out.append((ra[i][1], rb[j][1], gap))
-                i, j = i + 1, j + 1
-            elif gap < 0:
-                out.append((None, rb[j][1], None))
-                j += 1
-            else:
-                out.append((ra[i][1], None, None))
-                i += 1
-        out += [(x[1], None, None) for x in ra[i:]] + [(None, x[1], None) for x in rb[j:]]
-        made = pd.DataFrame(out, columns=["l_id", "r_id", "offset"])
-        made.insert(0, key, k[0])
-        return made.astype({"l_id": "Int64", "r_id": "Int64", "offset": "float64"})
-
-    a, b = (x.select(key, "id", "pos") for x in (reference, detected))
-    return a.groupBy(key).cogroup(b.groupBy(key)).applyInPandas(walk, f"{key} long, l_id long, r_id long, offset double")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel, pairing = None, Pairing(tolerance, yields)
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=[key, "l_id", "r_id", "offset"])
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, is_ref, pos, name in zip(*(batch.column(c).to_pylist() for c in (key, "is_ref", "pos", "id")), strict=True):
+                if k != channel:
+                    rows += [(channel, *r) for r in pairing.finish()]
+                    channel, pairing = k, Pairing(tolerance, yields)
+                pairing.push(is_ref, pos, name)
+            rows += [(channel, *r) for r in pairing.taken()]
+            yield told(rows)
+        yield told([(channel, *r) for r in pairing.finish()])
+
+    side = lambda rows, is_ref: rows.select(F.col(key).cast("long").alias(key), F.col("id").cast("long").alias("id"), F.col("pos").cast("double").alias("pos"), F.lit(is_ref).alias("is_ref"))
+    both = side(reference, True).unionByName(side(detected, False))
+    return both.repartition(key).sortWithinPartitions(key, "pos", "is_ref", "id").mapInArrow(each, f"{key} long, l_id long, r_id long, offset double")
 
 
 def as_of(left: DataFrame, right: DataFrame, value: str, key: str = "channel") -> DataFrame:

@@ -45,7 +45,10 @@ def nearest(rows: DataFrame, centres: DataFrame, key: str, block: int = 4096) ->
     broadcast is bounded; each block is one matrix product over the vectors and
     keeps the best so far.
     """
-    dims = centres.select(F.max(F.size("centroid"))).first()[0] or 0
+    ordered = centres.select(key, "centroid").orderBy(key)
+    first = ordered.limit(block + 1).collect()  # one job where all fit a block
+    every = first if len(first) <= block else ordered.toLocalIterator()
+    dims = len(first[0][1]) if first else 0
     best = rows.withColumns({"to": F.lit(None).cast(centres.schema[key].dataType), "ncc": F.lit(None).cast("double")})
     part: list[tuple] = []
 
@@ -67,7 +70,7 @@ def nearest(rows: DataFrame, centres: DataFrame, key: str, block: int = 4096) ->
 
         return best.mapInArrow(each, best.schema)
 
-    for row in centres.select(key, "centroid").orderBy(key).toLocalIterator():
+    for row in every:
         part.append((row[0], row[1]))
         if len(part) == block:
             best, part = step(best, part), []
