@@ -125,7 +125,7 @@ def test_alignments_equal_brute_force():
     for _ in range(150):
         item = [r.randrange(4) for _ in range(r.randint(1, 8))]
         text = [r.randrange(4) for _ in range(r.randint(0, 20))]
-        most = r.randint(0, 2)
+        most = r.randint(0, min(2, len(item) - 1))  # a budget is under the item's length
         got = decontaminate.alignments(item, text, most)
         want = [exact_distance(item, text[a:b]) for a in range(len(text)) for b in range(a + 1, len(text) + 1)]
         assert (min(want, default=99) <= most) == bool(got)

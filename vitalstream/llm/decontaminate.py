@@ -61,7 +61,7 @@ def least_runs(words: int) -> int:
 
 
 def alignments(item: list[int], text: list[int], most: int) -> list[tuple[int, int, int]]:
-    """(start, end, edits) of stretches of ``text`` within ``most`` edits of ``item``, best first, that do not overlap.
+    """(start, end, edits) of stretches of ``text`` within ``most`` edits of ``item``, best first, that do not overlap; ``most`` is under the item's length.
 
     A row holds, for each end, the least edits and the latest start that has
     them, as edits * ONE - start.
