@@ -11,28 +11,33 @@ LINEAR7 = (-0.490744, -0.902319, -3.525691, 0.142076, -0.063149, -0.146428, 0.16
 CELLS = 40
 
 
+def total(x: np.ndarray) -> np.ndarray:
+    """Sum of each row, added from first to last. A row's sum() adds by eights, which moves values that lie on a threshold or between two roundings."""
+    return np.add.accumulate(x, axis=1)[:, -1]
+
+
 def density(x: np.ndarray, lag: int, peak: np.ndarray) -> np.ndarray:
     """Share of the cells of a lagged plot that each row visits."""
     half = 0.5 * (CELLS - 1)
-    place = np.clip(x * (half / np.maximum(peak, 1e-9))[:, None] + half, 0, CELLS - 1).astype(np.int64)
+    place = np.clip(x * half / np.where(peak > 0, peak, 1.0)[:, None] + half, 0, CELLS - 1).astype(np.int64)
     cell = place[:, :-lag] * CELLS + place[:, lag:] + np.arange(len(x))[:, None] * CELLS**2
     seen = np.zeros(len(x) * CELLS**2, bool)
     seen[cell.ravel()] = True
     return seen.reshape(len(x), -1).sum(1) / CELLS**2
 
 
-def envelope_cv(x: np.ndarray, block: int) -> np.ndarray:
+def envelope_cv(x: np.ndarray, block: int, least: float = 1e-12) -> np.ndarray:
     """Spread over mean of the peaks of blocks; a last block of under half is left out."""
     n = x.shape[1]
     starts = [s for s in range(0, n, block) if min(block, n - s) >= block // 2]
     if len(starts) < 2:
         return np.zeros(len(x))
     top = np.maximum.reduceat(np.abs(x[:, : starts[-1] + block]), starts, axis=1)
-    mean = top.mean(1)
-    return np.where(mean > 1e-12, np.sqrt(np.maximum((top**2).mean(1) - mean**2, 0)) / np.maximum(mean, 1e-12), 0.0)
+    mean = total(top) / len(starts)
+    return np.where(mean > least, np.sqrt(np.maximum(total(top**2) / len(starts) - mean**2, 0)) / np.where(mean > least, mean, 1.0), 0.0)
 
 
-def spectral(x: np.ndarray, fs: float) -> np.ndarray:
+def spectral(x: np.ndarray, fs: float, least: float = 1e-18) -> np.ndarray:
     """(concentration, 2.5-7.5 Hz share, share over 12 Hz, entropy) of each row, over 0.5 to 30 Hz."""
     w = x.shape[1]
     m = max(4, 1 << (w - 1).bit_length())
@@ -42,8 +47,8 @@ def spectral(x: np.ndarray, fs: float) -> np.ndarray:
     if hi <= lo:
         return np.zeros((len(x), 4))
     k = np.arange(m // 2 + 1)
-    total = power[:, lo : hi + 1].sum(1)
-    safe = np.where(total > 1e-18, total, 1.0)
+    whole = power[:, lo : hi + 1].sum(1)
+    safe = np.where(whole > least, whole, 1.0)
     near = slice(int(place(1.0)), int(place(10.0)) + 1)
     peak = (power[:, near].argmax(1) + near.start) * fs / m
     c_lo, c_hi = np.maximum(place(0.5 * peak), lo), np.minimum(place(1.5 * peak), hi)
@@ -52,38 +57,44 @@ def spectral(x: np.ndarray, fs: float) -> np.ndarray:
     entropy = -(q * np.log(np.where(q > 0, q, 1.0))).sum(1) / max(np.log(hi - lo + 1), 1e-9)
     share = lambda a, b: power[:, a : b + 1].sum(1) / safe
     out = np.stack([(power * within).sum(1) / safe, share(max(int(place(2.5)), lo), min(int(place(7.5)), hi)), share(max(int(place(12.0)), lo), hi), entropy], 1)
-    return np.where((total > 1e-18)[:, None], out, 0.0)
+    return np.where((whole > least)[:, None], out, 0.0)
 
 
-def features(rows: np.ndarray, fs: float) -> dict[str, np.ndarray]:
-    """FEATURES of windows (rows), without amplitude_rel, and the swing of each."""
-    x = rows - rows.mean(1, keepdims=True)
-    w = x.shape[1]
+def features(rows: np.ndarray, fs: float, least: float = 1e-9) -> dict[str, np.ndarray]:
+    """FEATURES of windows (rows), without amplitude_rel, and the swing of each.
+
+    A window whose peak is ``least`` or lower is still, and all its features are
+    0; with a ``least`` of 0 only one without any swing is, and what rounding
+    leaves of a constant counts as a signal.
+    """
+    w = rows.shape[1]
+    x = rows - (total(rows) / w)[:, None]
     size = np.abs(x)
     peak, swing = size.max(1), x.max(1) - x.min(1)
     square = x * x
-    m2, m4 = square.mean(1), (square * square).mean(1)
-    mean = size.mean(1)
-    change = np.abs(np.diff(x, axis=1)).sum(1)
-    half = np.where(change > 1e-9, np.floor(np.pi * mean * w / np.where(change > 1e-9, change, 1.0) + 0.5), 0).astype(np.int64)
+    m2, m4 = total(square) / w, total(square * x * x) / w
+    mean = total(size) / w
+    change = total(np.abs(np.diff(x, axis=1)))
+    half = np.where(change > least, np.floor(np.pi * mean * w / np.where(change > least, change, 1.0) + 0.5), 0).astype(np.int64)
     half = np.clip(half, 1, w // 2)
     leak = np.ones(len(x))
     for h in np.unique(half).tolist():  # windows of one half period are one shift
         of = half == h
         late, early = x[of, h:], x[of, :-h]
-        den = (np.abs(late) + np.abs(early)).sum(1)
-        leak[of] = np.where(den > 1e-9, np.abs(late + early).sum(1) / np.where(den > 1e-9, den, 1.0), 1.0)
+        den = total(np.abs(late) + np.abs(early))
+        leak[of] = np.where(den > least, total(np.abs(late + early)) / np.where(den > least, den, 1.0), 1.0)
     taper = max(1, min(int(0.25 * fs), w // 4))
     weight = np.ones(w)
     rise = 0.5 * (1 - np.cos(np.pi * (taper - np.arange(taper)) / taper))
     weight[:taper], weight[w - taper :] = rise, 0.5 * (1 - np.cos(np.pi * np.arange(taper) / taper))
-    shape = spectral(x, fs)
+    weight = weight.round(15)  # a half is a half
+    shape = spectral(x, fs, least**2)
     out = {
-        "tcsc": (size * weight >= 0.2 * peak[:, None]).mean(1), "leakage": leak, "peak_to_mean": np.where(mean > 1e-9, peak / np.maximum(mean, 1e-9), 0.0),
-        "kurtosis": np.where(m2 > 1e-18, m4 / np.where(m2 > 1e-18, m2 * m2, 1.0) - 3, 0.0), "dominant_hz": fs / (2.0 * half), "psr_density": density(x, max(1, int(0.5 * fs)), peak),
-        "spec_conc": shape[:, 0], "vf_band_frac": shape[:, 1], "hf_frac": shape[:, 2], "spec_entropy": shape[:, 3], "env_cv": envelope_cv(x, int(0.25 * fs)),
+        "tcsc": (size * weight >= 0.2 * peak[:, None]).mean(1), "leakage": leak, "peak_to_mean": np.where(mean > least, peak / np.where(mean > least, mean, 1.0), 0.0),
+        "kurtosis": np.where(m2 > least**2, m4 / np.where(m2 > least**2, m2 * m2, 1.0) - 3, 0.0), "dominant_hz": fs / (2.0 * half), "psr_density": density(x, max(1, int(0.5 * fs)), peak),
+        "spec_conc": shape[:, 0], "vf_band_frac": shape[:, 1], "hf_frac": shape[:, 2], "spec_entropy": shape[:, 3], "env_cv": envelope_cv(x, int(0.25 * fs), least * 1e-3),
     }
-    still = peak <= 1e-9
+    still = peak <= least
     return {k: np.where(still, 0.0, v) for k, v in out.items()} | {"swing": swing, "still": still}
 
 
