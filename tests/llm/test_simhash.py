@@ -150,6 +150,29 @@ def test_similar_documents_equal_exact_jaccard(spark, monkeypatch, shard):
     assert sum(i % 2 == 1 and want[i] == i for i in range(120)) > 5  # copies under 0.8 stay
 
 
+def distinct_fingerprint(text):
+    """Fingerprint of the five-word shingles of a text, each counted once."""
+    h = [int(x) for x in set(simhash.shingles((text or "").encode(), 5).tolist())]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_trees_give_the_candidates(spark, monkeypatch):
+    """What similar_documents() joins is what its trees find: with their radius cut to 2, only that; 24 holds every pair."""
+    rows = list(enumerate(planted()))
+    repeated = rows[20][1] + " again" + (" " + " ".join(rows[20][1].split()[:8])) * 60  # the same few shingles many times over
+    rows.append((len(rows), repeated))
+    want, near = brute_similar(rows)
+    fps = {i: distinct_fingerprint(t) for i, t in rows}
+    assert max((fps[i] ^ fps[j]).bit_count() for i, j in near) <= simhash.WIDE == 24
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
+    monkeypatch.setattr(simhash, "WIDE", 2)
+    few = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    close = brute_components(fps)
+    assert all(close[i] == close[c] and want[i] == want[c] for i, c in few.items())
+    assert sum(i != c for i, c in few.items()) < sum(i != c for i, c in want.items())
+
+
 def test_similar_documents_repeated_null_and_empty(spark):
     rows = [(3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (5, "A b c d"), (9, ""), (8, None), (None, "only here")]
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())

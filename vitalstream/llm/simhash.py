@@ -9,8 +9,8 @@ keyed by their Hamming distance to the parent, and a search follows only edges
 within the radius. Shards are dealt by shuffle and not broadcast: the trees of
 a corpus have no size bound.
 
-similar_documents() finds what a fingerprint of 64 bits is too short for: all
-documents at a stated Jaccard similarity, verified exactly.
+similar_documents() finds the documents at a stated Jaccard similarity: BK-trees
+of a wide radius give the candidates and the exact similarity follows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import components, partitions, stored
 
 RADIUS = 2
+#: similar_documents(): bits in which fingerprints of candidates may differ. Jaccard 0.8 is some 10 of 64, 12 in the shortest texts.
+WIDE = 24
 #: similar_documents(): BANDS bands of ROWS min-hashes; two documents at Jaccard 0.8 share one with probability 0.9996.
 BANDS, ROWS = 20, 5
 FLIP, FACTOR = np.random.default_rng(17).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,21 +126,8 @@ def finer_blocks() -> list[tuple[int, int]]:
     return [(8 * i, 8) for i in range(8)]
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints that keep every component whole.
-
-    Shards are read in fingerprint order. Within one, only links that join two
-    parts of it not yet joined are returned, so a group of copies yields one
-    link fewer than it has members. Shards over HOT_SHARD fingerprints are left
-    to keys of 48 bits in place of 32; what shares those differs in 16 bits, so
-    a finer shard holds 65,536 fingerprints at most.
-    """
-    shards = fps.select("fp", F.explode(_parts(F.col("fp"), BLOCKS, 0)).alias("s")).select("fp", "s.way", "s.key")
-    counts = shards.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = shards.join(counts, ["way", "key"])
-    small = sized.where(F.col("n") <= HOT_SHARD).select("fp", "way", "key")
-    hot = sized.where(F.col("n") > HOT_SHARD).select("fp").distinct()
-    fine = hot.select("fp", F.explode(_parts(F.col("fp"), finer_blocks(), 100)).alias("s")).select("fp", "s.way", "s.key")
+def _grown(ordered: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links within ``radius`` in each shard of ``ordered``, whose last column is fp and whose others, by which it is sorted, name the shard."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tree, parent = None, BKTree(), {}
@@ -151,12 +140,12 @@ def links(fps: DataFrame) -> DataFrame:
             return x
 
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            for way, key, fp in zip(cols[0].tolist(), cols[1].tolist(), cols[2].view(np.uint64).tolist(), strict=True):
-                if (way, key) != shard:
-                    shard, tree, parent = (way, key), BKTree(), {}
+            *names, fps = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for *name, fp in zip(*(c.tolist() for c in names), fps.view(np.uint64).tolist(), strict=True):
+                if name != shard:
+                    shard, tree, parent = name, BKTree(), {}
                 parent[fp] = fp
-                for other in tree.add(fp, RADIUS):
+                for other in tree.add(fp, radius):
                     x, y = find(fp), find(other)
                     if x != y:
                         parent[x] = y
@@ -166,9 +155,28 @@ def links(fps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
                 out = []
 
+    return ordered.mapInArrow(grow, "a long, b long").distinct()
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b): links between distinct fingerprints that keep every component whole.
+
+    Shards are read in fingerprint order. Within one, only links that join two
+    parts of it not yet joined are returned, so a group of copies yields one
+    link fewer than it has members. Shards over HOT_SHARD fingerprints are left
+    to keys of 48 bits in place of 32; what shares those differs in 16 bits, so
+    a finer shard holds 65,536 fingerprints at most.
+    """
+    shards = fps.select("fp", F.explode(_parts(F.col("fp"), BLOCKS, 0)).alias("s")).select("fp", "s.way", "s.key")
+    counts = shards.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = shards.join(counts, ["way", "key"])
+    small = sized.where(F.col("n") <= HOT_SHARD).select("fp", "way", "key")
+    hot = sized.where(F.col("n") > HOT_SHARD).select("fp").distinct()
+    fine = hot.select("fp", F.explode(_parts(F.col("fp"), finer_blocks(), 100)).alias("s")).select("fp", "s.way", "s.key")
+
     n = partitions(fps.sparkSession)
     ordered = small.unionByName(fine).repartition(n, "way", "key").sortWithinPartitions("way", "key", "fp")
-    return ordered.select("way", "key", "fp").mapInArrow(grow, "a long, b long").distinct()
+    return _grown(ordered.select("way", "key", "fp"), RADIUS)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -237,16 +245,18 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every row of ``docs``: linked are documents whose shingle sets have Jaccard ``similarity`` or more.
 
-    A radius that holds Jaccard 0.8 (some 16 bits of 64) leaves no block of the
-    fingerprint on which linked ones must agree, so candidates come from keys
-    instead: two of the four blocks of the fingerprint, as in links(), and BANDS
-    bands of min-hashes. Documents that share a key, directly or through others,
-    form a coarse group, and within one all pairs are decided by exact Jaccard.
+    Fingerprints (of distinct shingles, as Jaccard counts them) are dealt to
+    shards, a BK-tree is grown in each, and those that it finds within WIDE bits
+    are candidates. At such a radius there is no block of the fingerprint on
+    which linked ones must agree, so a shard holds what shares two of its four
+    blocks, as in links(), or one of BANDS bands of min-hashes. Candidates joined
+    directly or through others form a coarse group, and within one all pairs are
+    decided by exact Jaccard.
 
     Documents of equal shingle sets are one class and are compared once; only
-    the texts of classes that share a key are shuffled. A coarse group over SHARD
-    members is split into shards, and each pair of shards is a task's work, so
-    no task holds more than two shards, and no pair of members is left out. Texts
+    the texts of candidates are shuffled. A tree's shard or a coarse group over
+    SHARD members is split into parts, and each pair of parts is a task's work,
+    so no task holds more than two parts, and no pair of members is left out. Texts
     of any length are read whole. Texts without words are equal. A repeated doc_id is judged row
     by row; a null doc_id stays and is nobody's representative.
     """
@@ -256,13 +266,14 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             rows = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 hashes = shingles(text or b"", words)
-                fp, own = _majority(hashes), np.unique(hashes)
+                own = np.unique(hashes)
+                fp = _majority(own)
                 keys = [xxhash.xxh64_intdigest(b"%d" % (fp & m), 1000 + k) for k, m in enumerate(masks)] + _bands(own)
-                rows.append((xxhash.xxh64_intdigest(own.tobytes()), keys))
-            ids = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-            keys = np.array([r[1] for r in rows], np.uint64).view(np.int64).reshape(-1)
+                rows.append((xxhash.xxh64_intdigest(own.tobytes()), fp, keys))
+            ids, fps = np.array([r[:2] for r in rows], np.uint64).reshape(-1, 2).view(np.int64).T
+            keys = np.array([r[2] for r in rows], np.uint64).view(np.int64).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (len(masks) + BANDS)), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(ids), lists], names=["doc_id", "t", "id", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(ids), pa.array(fps), lists], names=["doc_id", "t", "id", "fp", "keys"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def said() -> pa.RecordBatch:
@@ -281,24 +292,29 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         if ids:
             yield said()
 
+    def paired(rows: DataFrame, group: str, one: str, *more: str) -> DataFrame:
+        """Part i of a group meets parts j >= i, in task (i, j)."""
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        rows = rows.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), one, *more)
+        return rows.repartition(partitions(docs.sparkSession), group, "i", "j").sortWithinPartitions(group, "i", "j", one)
+
     masks = [sum(((1 << BLOCKS[i][1]) - 1) << BLOCKS[i][0] for i in chosen) for chosen in combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS)]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"))
-    seen = stored(base.mapInArrow(each, "doc_id long, t long, id long, keys array<long>"))
-    classes = stored(seen.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("t").alias("t"), F.min("keys").alias("keys")))
-    keyed = classes.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    coarse = components(keyed.join(shared, "key").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    wanted = stored(coarse.select("id", F.col("component_id").alias("coarse")).join(classes.select("id", "t"), "id"))
+    seen = stored(base.mapInArrow(each, "doc_id long, t long, id long, fp long, keys array<long>"))
+    classes = stored(seen.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    keyed = classes.select("fp", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.count("*").alias("n")).where("n > 1").select("key", "shards")
+    ordered = paired(keyed.join(shared, "key").withColumn("own", F.pmod(F.hash("fp"), F.col("shards"))), "key", "fp")
+    joined = components(_grown(ordered.select("key", "i", "j", "fp"), WIDE)).select(F.col("id").alias("fp"), F.col("component_id").alias("coarse"))
+    placed = stored(classes.select("id", "t", "fp").join(joined, "fp", "left").select("id", "t", F.coalesce("coarse", "fp").alias("coarse")))
+    sizes = placed.groupBy("coarse").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.count("*").alias("n")).where("n > 1").select("coarse", "shards")
+    wanted = stored(placed.join(sizes, "coarse"))
     # of the texts, only those in a slot of a wanted one are shuffled: SLOTS numbers at most
     slot = lambda: F.pmod("t", F.lit(SLOTS)).alias("slot")
     texts = base.select("t", "text", slot()).join(F.broadcast(wanted.select(slot()).distinct()), "slot", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-    sizes = wanted.groupBy("coarse").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    split = not sizes.where("shards > 1").isEmpty()
-    dealt = texts.join(wanted, "t").join(sizes, "coarse").withColumn("own", F.pmod(F.hash("id"), F.col("shards")))
-    # shard i meets shards j >= i, in task (i, j)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    dealt = dealt.select("coarse", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "text")
-    ordered = dealt.repartition(partitions(docs.sparkSession), "coarse", "i", "j").sortWithinPartitions("coarse", "i", "j", "id")
+    split = not wanted.where("shards > 1").isEmpty()
+    dealt = texts.join(wanted, "t").withColumn("own", F.pmod(F.hash("id"), F.col("shards")))
+    ordered = paired(dealt, "coarse", "id", "text").select("coarse", "i", "j", "id", "text")
     groups = stored(ordered.mapInArrow(decide, "id long, group long"))
     if split:  # what pairs of shards joined is put together
         groups = components(groups.select(F.col("id").alias("a"), F.col("group").alias("b"))).withColumnRenamed("component_id", "group")
